@@ -20,6 +20,7 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil
 
@@ -98,33 +99,32 @@ def _dominated(filling: list[int], waste: int, left: dict[int, int]) -> bool:
 def completions(largest: int, counts: dict[int, int], order: list[int], capacity: int, want: int, visits: int, slack: int) -> list[tuple[int, Pattern]]:
     """Undominated fillings around one piece of the largest length, least waste first."""
     found: dict[tuple[int, ...], int] = {}
-    budget = [visits]
-    start = capacity - largest
-    smallest = order[-1]
+    budget, perfect = visits, 0
+    negative = [-s for s in order]
+
+    def free(s: int, chosen: list[int]) -> bool:
+        return counts.get(s, 0) - (s == largest) > chosen.count(s)
 
     def grow(at: int, left: int, chosen: list[int]) -> None:
-        if budget[0] <= 0 or sum(w == 0 for w in found.values()) >= want:
-            return
-        budget[0] -= 1
-        if left < smallest:
-            if left <= slack:
-                found[tuple(chosen)] = left
-            return
+        nonlocal budget, perfect
+        budget -= 1
+        if left and (not chosen or left <= chosen[-1]) and free(left, chosen):  # one piece closes it
+            found[(*chosen, left)] = 0
+            perfect += 1
         fits = False
-        for i in range(at, len(order)):
-            s = order[i]
-            if s > left or counts[s] - (s == largest) - chosen.count(s) <= 0:
-                continue
-            fits = True
-            chosen.append(s)
-            grow(i, left - s, chosen)
-            chosen.pop()
-            if budget[0] <= 0:
-                break
+        for i in range(max(at, bisect_left(negative, -left)), len(order)):
+            if budget <= 0 or perfect >= want:
+                return
+            if free(order[i], chosen):
+                fits = True
+                if order[i] < left:
+                    chosen.append(order[i])
+                    grow(i, left - order[i], chosen)
+                    chosen.pop()
         if not fits and left <= slack:
             found[tuple(chosen)] = left
 
-    grow(0, start, [])
+    grow(0, capacity - largest, [])
     out = []
     for chosen, waste in sorted(found.items(), key=lambda x: (x[1], len(x[0]))):
         if waste and _dominated(list(chosen), waste, counts):
@@ -138,7 +138,7 @@ def completions(largest: int, counts: dict[int, int], order: list[int], capacity
     return out
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 4000, branches: int = 3, visits: int = 3000) -> tuple[dict[Pattern, int], int]:
+def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 3000, branches: int = 2, visits: int = 250) -> tuple[dict[Pattern, int], int]:
     """Patterns and their uses for a histogram of lengths, and the lower bound.
 
     ``nodes``, ``branches`` and ``visits`` bound the search only: whatever it leaves, every piece is packed.

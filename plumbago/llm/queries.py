@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbago.llm.line_dedup import dedup_lines
+from plumbago.llm.packing import pack_documents
 from plumbago.llm.simhash import near_duplicates
+from plumbago.llm.sstable import read_shards, write_shards
 from plumbago.llm.substring_dedup import dedup_substrings
+from plumbago.llm.tokens import tokenizer_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +22,15 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, manifest = write_shards(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+    return read_shards(spark, folder, manifest)
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir), texts=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
@@ -28,7 +40,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op7_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op4_packing, op6_sstable, op7_line_dedup, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -68,3 +68,19 @@ def op10(docs, width=35):
                 gone.update(range(k, k + width))
         out.add((i, len(w), len(gone), sha(" ".join(x for k, x in enumerate(w) if k not in gone))))
     return out
+
+
+def token_ids(name, texts):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(public_tokenizers.path(name))
+    return [whole.encode(t or "", add_special_tokens=False).ids + [2] for t in texts]
+
+
+def crc(ids):
+    import zlib
+
+    import numpy as np
+
+    return zlib.crc32(np.array(ids, dtype="<u4").tobytes())
