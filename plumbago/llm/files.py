@@ -26,7 +26,7 @@ class FolderWriter:
 
     def create(self, suffix: str):
         name = uuid.uuid4().hex + suffix
-        return name, self.fs.open_output_stream(f"{self.path}/{name}")
+        return name, self.fs.open_output_stream(f"{self.path}/{name}", compression=None)
 
 
 def open_file(folder: str, name: str):

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbago.llm.html_text import extract_text
 from plumbago.llm.line_dedup import dedup_lines
 from plumbago.llm.packing import pack_documents
 from plumbago.llm.simhash import near_duplicates
 from plumbago.llm.sstable import read_shards, write_shards
 from plumbago.llm.substring_dedup import dedup_substrings
 from plumbago.llm.tokens import tokenizer_path
+from plumbago.llm.warc import build_index, read_archives, write_archives
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +28,12 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder, captures = write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    rows = read_archives(folder, build_index(folder, captures))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = write_shards(_documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
     return read_shards(spark, folder, manifest)
@@ -35,12 +43,16 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir), texts=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_documents(spark, sf_dir), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op4_packing, op6_sstable, op7_line_dedup, op10_substring_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op4_packing, op5_warc, op6_sstable, op7_line_dedup, op9_html_text, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
