@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbago.llm import language_id
+from plumbago.llm.decontamination import find_leaks
 from plumbago.llm.html_text import extract_text
 from plumbago.llm.line_dedup import dedup_lines
 from plumbago.llm.packing import pack_documents
 from plumbago.llm.simhash import near_duplicates
+from plumbago.llm.spot_signatures import fingerprint_edits
 from plumbago.llm.sstable import read_shards, write_shards
 from plumbago.llm.substring_dedup import dedup_substrings
 from plumbago.llm.tokens import tokenizer_path
@@ -19,11 +22,21 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_edits(_documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(_documents(spark, sf_dir))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    out = language_id.identify(docs, language_id.fit(docs))
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"))
 
@@ -43,6 +56,10 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_documents(spark, sf_dir), texts=False).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -52,7 +69,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_simhash, op4_packing, op5_warc, op6_sstable, op7_line_dedup, op9_html_text, op10_substring_dedup)}
+    return {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_language_id, op4_packing, op5_warc, op6_sstable, op7_line_dedup, op8_decontaminate, op9_html_text, op10_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
