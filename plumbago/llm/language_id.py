@@ -274,14 +274,14 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
 def identify(df: DataFrame, model: LanguageCRF | None, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
     """Rows (id, *columns, lang_pred, score) of every whole text."""
     names = [id_col, *columns]
-    picked = df.select(*names, F.col(text_col).alias("predicted_text"))
+    picked = df.select(*names, *([] if text_col in names else [text_col]))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in names) + ", lang_pred string, score double"
     sent = df.sparkSession.sparkContext.broadcast(model)  # a fixed feature space and a bounded lexicon
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for pdf in batches:
-            texts = pdf["predicted_text"].tolist()
+            texts = pdf[text_col].tolist()
             lang, score = own.predict(texts) if own else (["und"] * len(texts), [0.0] * len(texts))
             yield pdf[names].assign(lang_pred=lang, score=score)
 
