@@ -39,7 +39,7 @@ _loaded: dict[str, PieceTokenizer] = {}
 class PieceTokenizer:
     """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, limit: int = 400_000) -> None:
+    def __init__(self, path: str, limit: int = 700_000) -> None:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
@@ -58,10 +58,31 @@ class PieceTokenizer:
         low = chunk if self.spaced else chunk.lower()
         if not low or max(low) >= LATIN or "<|" in low:
             return self._packed(self.whole.encode(chunk, add_special_tokens=False).ids)
-        ids: list[int] = []
-        for piece in self.pattern.findall(low):
-            ids += [t.id for t in self.model.tokenize(piece.encode("utf-8").decode("latin-1").translate(_BYTES))]
-        return self._packed(ids)
+        core = low.rstrip(".,;:!?")
+        if core[1:].isalpha() and (core[0] == " " if self.spaced else core[0].isalpha()):  # a word, perhaps with marks behind it
+            parts = (core, low[len(core) :]) if len(core) < len(low) else (core,)
+        else:
+            parts = self.pattern.findall(low)
+        out = []
+        for piece in parts:  # pre-tokens that stand alone elsewhere are known from there
+            key, held = (piece[1:], self.fresh) if self.spaced and piece[0] == " " else (piece, self.heads if self.spaced else self.fresh)
+            ids = held.get(key)
+            if ids is None:
+                shown = "Ġ" + key if piece[0] == " " and key.isascii() and key.isalpha() else piece if piece.isascii() and piece.isalpha() else piece.encode("utf-8").decode("latin-1").translate(_BYTES)
+                ids = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(shown)])
+                if key and len(key) <= 40:
+                    self._keep(held, key, ids)
+            out.append(ids)
+        return b"".join(out)
+
+    def _keep(self, held: dict[str, bytes], key: str, ids: bytes) -> None:
+        if len(held) >= self.limit:
+            if held is self.heads:
+                held.clear()
+            else:
+                self.fresh, self.aged = {}, held
+                held = self.fresh
+        held[key] = ids
 
     def _piece(self, piece: str) -> bytes | None:
         """Ids of a piece that follows a space; None if the piece is no chunk of its own."""
@@ -71,9 +92,7 @@ class PieceTokenizer:
                 return None
             out = self._encode(" " + piece if self.spaced else piece)
         if len(piece) <= 40:
-            if len(self.fresh) >= self.limit:
-                self.fresh, self.aged = {}, self.fresh
-            self.fresh[piece] = out
+            self._keep(self.fresh, piece, out)
         return out
 
     def ids(self, text: str) -> bytes:

@@ -117,3 +117,33 @@ def test_substrings(spark):
     row = got.where("doc_id = 300").first()
     assert [tuple(x) for x in row["removed"]] == [(0, 40000)] and row["kept_text"] == ""
     assert dedup_substrings(frame(spark, docs).limit(0)).count() == 0
+
+
+def test_near_copies(spark):
+    from plumbago.llm.simhash_wide import near_copies
+
+    rng = random.Random(8)
+    vocab = [f"{a}{b}{c}" for a in "bdfgk" for b in ("ar", "el", "in", "om") for c in ("", "ta", "ne", "ri", "sk", "ul")]
+    fresh = lambda n: [rng.choice(vocab) for _ in range(n)]
+
+    def edit(words, n):
+        out = list(words)
+        for _ in range(n):
+            out[rng.randrange(len(out))] = "changed" + str(rng.randrange(999))
+        return out
+
+    docs, copies = [(0, None), (1, ""), (2, "one two")], []
+    for k in range(60):
+        base = fresh(300)
+        docs.append((10 + k, " ".join(base)))
+        if k % 2:
+            docs.append((1000 + k, " ".join(edit(base, 2))))
+            copies.append((10 + k, 1000 + k))
+    crowd = fresh(400)
+    docs += [(5000 + k, " ".join(edit(crowd, 3))) for k in range(120)] + [(4999, " ".join(crowd)), (4998, " ".join(crowd).upper())]
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, docs), bucket_limit=8).collect()}
+    assert len(got) == len(docs) and got[0] == got[1] == 0 and got[2] == 2
+    assert sum(got[b] == a for a, b in copies) >= len(copies) - 1
+    assert all(got[10 + k] == 10 + k for k in range(60))
+    assert {got[i] for i, _ in docs if i >= 4998} == {4998}
+    assert near_copies(frame(spark, docs).limit(0)).count() == 0
