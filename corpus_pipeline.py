@@ -10,7 +10,7 @@ from plumbago.llm.common import materialise
 from plumbago.llm.decontamination import find_leaks
 from plumbago.llm.line_dedup import dedup_lines
 from plumbago.llm.packing import pack_documents
-from plumbago.llm.simhash import near_duplicates
+from plumbago.llm.simhash_wide import near_copies
 from plumbago.llm.tokens import tokenizer_path
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -31,8 +31,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash near-dedup over five-word shingles: the least doc_id of each group stays."""
-    found = near_duplicates(docs, shingle=5)
+    """SimHash near-dedup over five-word shingles at a similarity of 0.8: the least doc_id of each group stays."""
+    found = near_copies(docs, shingle=5)
     return docs.join(found.where("doc_id <> component_id").select("doc_id"), "doc_id", "left_anti").select(*COLUMNS)
 
 
