@@ -21,6 +21,7 @@ get a fingerprint but never name a component unless all members are null; repeat
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice, repeat
 
 import numpy as np
 import pandas as pd
@@ -37,15 +38,24 @@ SEED = 42
 MAX_BITS = 2
 
 
-def simhash(text: str | None, shingle: int = 3) -> int:
-    """Majority bits over XXH64 of the word shingles, repeats included; as a signed 64-bit integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of every word shingle, repeats included; of the whole sequence if it is shorter; none for a blank text."""
     words = text.encode("utf-8").lower().split() if text else []
     if not words:
-        return 0
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) or [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype="<u8")
-    ones = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        return np.empty(0, dtype=np.uint64)
+    n = len(words) - shingle + 1
+    if n < 1:
+        return np.array([xxhash.xxh64_intdigest(b" ".join(words), SEED)], dtype=np.uint64)
+    grams = map(b" ".join, zip(*(islice(words, i, None) for i in range(shingle))))
+    return np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), dtype=np.uint64, count=n)
+
+
+def simhash(text: str | None, shingle: int = 3) -> int:
+    """Majority bits over the shingle hashes, as a signed 64-bit integer."""
+    h = shingle_hashes(text, shingle).astype("<u8")
+    ones = np.zeros(64, dtype=np.int64)
+    for a in range(0, len(h), 1 << 16):  # bounded memory for very long texts
+        ones += np.unpackbits(h[a : a + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 

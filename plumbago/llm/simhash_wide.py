@@ -24,14 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbago.llm.common import materialise
 from plumbago.llm.golay import LENGTH, decode, near_codewords
 from plumbago.llm.graph import connected_components
-from plumbago.llm.simhash import SEED
+from plumbago.llm.simhash import shingle_hashes
 
 LANES, PAIRS = 4, 4
 #: Bits of 256 that may differ between near-copies, and of the 64 that no block uses.
@@ -42,12 +41,7 @@ FP = [f"f{k}" for k in range(LANES)]
 
 def wide_simhash(text: str | None, shingle: int = 5) -> np.ndarray:
     """Majority bits over four mixes of the XXH64 of each word shingle, as four signed integers."""
-    words = text.encode("utf-8").lower().split() if text else []
-    if not words:
-        return np.zeros(LANES, dtype=np.int64)
-    grams = list(map(b" ".join, zip(*(words[i:] for i in range(shingle))))) or [b" ".join(words)]
-    digest = xxhash.xxh64_intdigest
-    h = np.array([digest(g, SEED) for g in grams], dtype=np.uint64)
+    h = shingle_hashes(text, shingle)
     ones = np.zeros(64 * LANES, dtype=np.int64)
     for a in range(0, len(h), 4096):
         x = h[a : a + 4096, None] + _LANE
