@@ -72,5 +72,26 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_spotsigs, op2_simhash, op3_language_id, op4_packing, op5_warc, op6_sstable, op7_line_dedup, op8_decontaminate, op9_html_text, op10_substring_dedup)}
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL = {
+    "op5_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages), k AS (SELECT html, max(page_id) AS kept FROM p WHERE strlen(html) >= 1000 GROUP BY html HAVING count(*) > 1)
+      SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest, CASE WHEN kept IS NOT NULL AND kept <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN kept <> page_id THEN kept END AS refers_to FROM p LEFT JOIN k USING (html)""",
+    "op7_line_dedup": f"""WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS k FROM documents),
+      e AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{_UPPER}', '{_LOWER}') AS key FROM l),
+      h AS (SELECT key, max(doc_id) AS keeper FROM e WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3)
+      SELECT doc_id, count(*) AS n_lines, count(*) FILTER (keeper IS NOT NULL AND keeper <> doc_id) AS n_dropped,
+      sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (keeper IS NULL OR keeper = doc_id), '')) AS kept_sha256 FROM e LEFT JOIN h USING (key) GROUP BY doc_id""",
+    "op10_substring_dedup": """WITH s AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+      w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS k, len(ws) AS n FROM s),
+      h AS (SELECT doc_id, word, k, CASE WHEN k <= n - 34 THEN md5(string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 34 FOLLOWING)) END AS h FROM w),
+      t AS (SELECT h FROM h WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+      d AS (SELECT doc_id, word, k, t.h IS NOT NULL AS again FROM h LEFT JOIN t USING (h)),
+      c AS (SELECT doc_id, word, k, bool_or(again) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone FROM d)
+      SELECT s.doc_id, count(word) AS n_words, count(*) FILTER (gone) AS n_removed, sha256(coalesce(string_agg(word, ' ' ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+      FROM s LEFT JOIN c USING (doc_id) GROUP BY s.doc_id""",
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
