@@ -267,7 +267,11 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
 def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500) -> LanguageCRF | None:
     """Train on up to ``sample_rows`` labelled rows outside the held-out part; None if there are none."""
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    sample = rows.select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).orderBy("h", "text").limit(sample_rows).collect()
+    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
+    labelled = rows.select(id_col).count()
+    # only about twice the bound passes the threshold, so no task sends the driver more than its share
+    below = rows.where(place < min(1 << 40, (1 << 40) * 2 * sample_rows // max(1, labelled)))
+    sample = below.select(place.alias("h"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).orderBy("h", "text").limit(sample_rows).collect()
     return train([r["text"] for r in sample], [r["label"] for r in sample]) if sample else None
 
 
