@@ -39,7 +39,7 @@ _loaded: dict[str, PieceTokenizer] = {}
 class PieceTokenizer:
     """``ids(text)`` as little-endian unsigned 32-bit bytes, equal to ``encode(text, add_special_tokens=False)``."""
 
-    def __init__(self, path: str, limit: int = 700_000) -> None:
+    def __init__(self, path: str, limit: int = 450_000) -> None:
         self.whole = Tokenizer.from_file(path)
         self.model = self.whole.model
         with open(path, encoding="utf-8") as f:
