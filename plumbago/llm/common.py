@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from typing import Protocol
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +58,32 @@ def parts_for(total: float, each: float, least: int = 1) -> int:
 def ascii_words(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text as UTF-8 (``bytes.split`` breaks at exactly these bytes)."""
     return text.encode("utf-8").split() if text else []
+
+
+class Cache(Protocol):
+    def forget(self) -> None: ...
+
+
+_held: Cache | None = None
+
+
+def hold_cache(owner: Cache) -> None:
+    """Let one kernel of this process hold a large cache; the one before forgets its own.
+
+    Workers outlive jobs, and a pipeline runs several kernels and models in the same workers.
+    """
+    global _held
+    if _held is not owner:
+        if _held is not None:
+            _held.forget()
+            trim_memory()
+        _held = owner
+
+
+def trim_memory() -> None:
+    """Give freed batches back to the system at the end of a task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass

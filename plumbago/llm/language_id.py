@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbago.llm.common import hold_cache, trim_memory
+
 CHAIN = 64
 #: Size of the hashed feature space; one more row holds zero weights for absent features.
 HASHED = 1 << 16
@@ -94,10 +96,10 @@ class LanguageCRF:
 
     def __init__(self, languages: list[str], weights: np.ndarray, transitions: np.ndarray, lexicon: dict[str, tuple[int, int]]) -> None:
         self.languages, self.weights, self.transitions, self.lexicon = languages, weights, transitions, lexicon
-        self.limit = 300_000
-        self._forget()
+        self.limit = 120_000
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.rows: dict[str, int] = {}
         self.table = np.zeros((1024, len(self.languages)), dtype=np.float32)
 
@@ -106,12 +108,13 @@ class LanguageCRF:
 
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
-        self._forget()
+        self.forget()
 
     def emissions(self, words: list[str]) -> np.ndarray:
         """Scores (words, languages); those of distinct words are kept up to a limit."""
+        hold_cache(self)
         if len(self.rows) > self.limit:
-            self._forget()
+            self.forget()
         rows = self.rows
         new = [w for w in dict.fromkeys(words) if w not in rows]
         if new:
@@ -260,7 +263,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
             step = (expected - seen) / len(batch) + 1e-3 * model.transitions
             energy_t += step**2
             model.transitions -= rate * step / np.sqrt(energy_t)
-    model._forget()
+    model.forget()
     return model
 
 
@@ -288,6 +291,7 @@ def identify(df: DataFrame, model: LanguageCRF | None, id_col: str = "doc_id", t
             texts = pdf[text_col].tolist()
             lang, score = own.predict(texts) if own else (["und"] * len(texts), [0.0] * len(texts))
             yield pdf[names].assign(lang_pred=lang, score=score)
+        trim_memory()
 
     return picked.mapInPandas(run, schema)
 

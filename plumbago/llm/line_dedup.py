@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise, parts_for
+from plumbago.llm.common import materialise, parts_for, trim_memory
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -259,5 +259,6 @@ def dedup_lines(
             for i, name in enumerate(names):
                 out[name] = [r[i] for r in rows]
             yield out
+        trim_memory()
 
     return joined.mapInPandas(run, schema)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise, parts_for
+from plumbago.llm.common import materialise, parts_for, trim_memory
 from plumbago.llm.tokens import tokenizer
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -208,6 +208,7 @@ def document_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: i
                     rows.append((doc_id, piece, at >> 2, (stop - at) >> 2, zlib.crc32(ids[at:stop])))
                     at, piece = stop, piece + 1
             yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
+        trim_memory()
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")

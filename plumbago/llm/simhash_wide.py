@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise
+from plumbago.llm.common import materialise, trim_memory
 from plumbago.llm.golay import LENGTH, decode, near_codewords
 from plumbago.llm.graph import connected_components
 from plumbago.llm.simhash import shingle_hashes
@@ -108,6 +108,7 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         for pdf in batches:
             lanes = np.array([wide_simhash(t, shingle) for t in pdf["text"]], dtype=np.int64).reshape(-1, LANES)
             yield pd.DataFrame(lanes, columns=FP).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", *FP]]
+        trim_memory()
 
     lanes = ", ".join(f"{c} long" for c in FP)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))

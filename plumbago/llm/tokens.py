@@ -13,6 +13,8 @@ import re
 import regex
 from tokenizers import Tokenizer
 
+from plumbago.llm.common import hold_cache
+
 _EDGE = re.compile(r"(?<=\S) (?=\S)")
 #: The pre-token patterns of the two kinds of byte-pair files read here.
 SPACED = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -46,9 +48,15 @@ class PieceTokenizer:
             spec = json.load(f)
         self.spaced = (spec["pre_tokenizer"] or {}).get("type") == "ByteLevel"
         self.pattern = regex.compile(SPACED if self.spaced else WORD)
-        self.limit, self.fresh, self.aged, self.heads = limit, {}, {}, {}
+        self.limit = limit
+        self.forget()
         self.top_id = self.whole.get_vocab_size() - 1
 
+    def forget(self) -> None:
+        self.fresh: dict[str, bytes] = {}
+        self.aged: dict[str, bytes] = {}
+        self.heads: dict[str, bytes] = {}
+
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return b"".join([i.to_bytes(4, "little") for i in ids])
@@ -115,6 +123,7 @@ def tokenizer(path: str) -> PieceTokenizer:
     """One tokenizer per worker process and file, kept between tasks."""
     if path not in _loaded:
         _loaded[path] = PieceTokenizer(path)
+    hold_cache(_loaded[path])
     return _loaded[path]
 
 
