@@ -5,17 +5,17 @@ beyond what segments of it can meet exactly. Here eight 23-bit blocks of a longe
 decoded to the codewords near them, and each of four disjoint pairs of blocks gives join keys of two
 codeword indices. A block of two such texts shares a nearby codeword about two times in three, so
 that at least one of the four pairs met for 87 % of edited texts at a similarity of 0.80 to 0.85, for
-93 % up to 0.90 and for 99 % above (measured on 1 200 edited documents). Pairs that meet are verified
-on 64 other bits, then on all 256: ``MAX_BITS`` of them may differ, the distance to expect at a
-similarity just below 0.8; unrelated texts differ in about 128.
+93 % up to 0.90 and for 99 % above (measured on 1 200 edited documents). Pairs that meet are screened
+by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, the distance to expect at a similarity
+just below 0.8.
 
-Buckets of more than ``bucket_limit`` fingerprints are dealt again by the codeword of a further
-block, and what is still crowded by a hash of key and fingerprint into groups of that size: members
-of a crowd of near-copies meet in many such groups, so the crowd stays connected, and no bucket is
-compared whole.
+Buckets of up to ``bucket_limit`` nodes are compared whole. In larger ones, members first meet the least
+of a small group each, which joins most near-copies of each other. Then the whole bucket is compared
+tile against tile, for members that are not yet in one component; so no pair of a bucket is left out,
+and a crowd of near-copies costs little.
 
-Defined cases: null, empty and blank texts share one fingerprint; rows without an id are left out of
-the components; repeated rows and equal texts are one fingerprint; extra columns are ignored.
+Defined cases: null, empty and blank texts are one node; rows without an id are left out of the
+components; repeated rows and equal sets of shingles are one node; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,24 +24,41 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise, trim_memory
-from plumbago.llm.golay import LENGTH, decode, near_codewords
+from plumbago.llm.common import hold_cache, materialise, trim_memory
+from plumbago.llm.golay import LENGTH, near_codewords
 from plumbago.llm.graph import connected_components
 from plumbago.llm.simhash import shingle_hashes
 
 LANES, PAIRS = 4, 4
-#: Bits of 256 that may differ between near-copies, and of the 64 that no block uses.
-MAX_BITS, MAX_CHECK = 46, 21
+#: Bits that may differ between near-copies, of 256 and of the last two lanes' 128.
+MAX_BITS, MAX_CHECK = 46, 40
+#: The similarity of near-copies, and how many members of a crowded bucket meet at their least one.
+LEAST, GROUP = 0.8, 16
 _LANE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(LANES)], dtype=np.uint64)
 FP = [f"f{k}" for k in range(LANES)]
 
 
-def wide_simhash(text: str | None, shingle: int = 5) -> np.ndarray:
-    """Majority bits over four mixes of the XXH64 of each word shingle, as four signed integers."""
-    h = shingle_hashes(text, shingle)
+class _NoCache:
+    """Takes the place of a kernel's cache in workers that need none."""
+
+    def forget(self) -> None:
+        pass
+
+
+_NONE = _NoCache()
+
+
+def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
+    """The sorted, distinct XXH64 hashes of a text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def wide_simhash(h: np.ndarray) -> np.ndarray:
+    """Majority bits over four mixes of each hash of a set of shingles, as four signed integers."""
     ones = np.zeros(64 * LANES, dtype=np.int64)
     for a in range(0, len(h), 4096):
         x = h[a : a + 4096, None] + _LANE
@@ -83,73 +100,89 @@ def _lanes(pdf: pd.DataFrame) -> np.ndarray:
     return np.ascontiguousarray(pdf[FP].to_numpy(dtype=np.int64))
 
 
-def _met(rows: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of a bucket's members that pass the check bits; buckets are bounded before."""
+def _met(members: DataFrame, by: list[str], star: bool = False) -> DataFrame:
+    """Pairs (u, v) of members (node, component, side, f2, f3) of one bucket that pass the check bits.
+
+    Members of one component or of one side (-1: none) are no pair; with ``star`` only pairs with the least member count.
+    """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold_cache(_NONE)
         for pdf in batches:
             us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for nodes, checks in zip(pdf["nodes"], pdf["checks"]):
-                n, c = np.asarray(nodes, dtype=np.int64), np.asarray(checks, dtype=np.int64).view(np.uint64)
-                i, j = np.triu_indices(len(n), 1)
-                near = np.bitwise_count(c[i] ^ c[j]) <= MAX_CHECK
-                us.append(np.minimum(n[i], n[j])[near])
-                vs.append(np.maximum(n[i], n[j])[near])
+            for columns in zip(*(pdf[c] for c in ("node", "component", "side", "f2", "f3"))):
+                n, part, side, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
+                if (part == part[0]).all():
+                    continue
+                order = np.argsort(n, kind="stable")
+                n, part, side, f2, f3 = n[order], part[order], side[order], f2[order].view(np.uint64), f3[order].view(np.uint64)
+                for k in range(1 if star else len(n) - 1):
+                    near = np.bitwise_count(f2[k + 1 :] ^ f2[k]) + np.bitwise_count(f3[k + 1 :] ^ f3[k]) <= MAX_CHECK
+                    near &= (part[k + 1 :] != part[k]) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
+                    if near.any():
+                        vs.append(n[k + 1 :][near])
+                        us.append(np.full(len(vs[-1]), n[k]))
             yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
 
-    members = rows.join(sizes.select("key"), "key").groupBy("key").agg(F.collect_list(F.struct("node", "f3")).alias("m"))
-    return members.select(F.col("m.node").alias("nodes"), F.col("m.f3").alias("checks")).mapInPandas(compare, "u long, v long").distinct()
+    lists = members.groupBy(*by).agg(F.collect_list(F.struct("node", "component", "side", "f2", "f3")).alias("m"))
+    return lists.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "component", "side", "f2", "f3")]).mapInPandas(compare, "u long, v long").distinct()
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """Those of the distinct pairs (u, v) whose fingerprints and sizes may be ``LEAST`` alike."""
+    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in (*FP, "size")])
+    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in FP[1:]), F.bit_count(F.col("uf0").bitwiseXOR(F.col("vf0"))))
+    sizes = F.least("usize", "vsize") >= LEAST * F.greatest("usize", "vsize") - 1e-6
+    close = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where((apart <= MAX_BITS) & sizes).select("u", "v").distinct(), "wide-close")
+    return close
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = 32) -> DataFrame:
     """Rows (doc_id, component_id) of every document with an id; component_id is the least id reachable."""
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hold_cache(_NONE)
         for pdf in batches:
-            lanes = np.array([wide_simhash(t, shingle) for t in pdf["text"]], dtype=np.int64).reshape(-1, LANES)
-            yield pd.DataFrame(lanes, columns=FP).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", *FP]]
+            rows = []
+            for t in pdf["text"]:
+                h = shingle_set(t, shingle)
+                rows.append((*wide_simhash(h), np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64), len(h)))
+            yield pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, LANES + 2), columns=[*same, "size"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", *same, "size"]]
         trim_memory()
 
-    lanes = ", ".join(f"{c} long" for c in FP)
+    same = [*FP, "digest"]
+    lanes = ", ".join(f"{c} long" for c in same)
     docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = materialise(docs.mapInPandas(prints, f"doc_id long, {lanes}"), "wide-marks")
-    nodes = materialise(marks.groupBy(*FP).agg(F.min("doc_id").alias("node")), "wide-prints")
+    marks = materialise(docs.mapInPandas(prints, f"doc_id long, {lanes}, size long"), "wide-marks")
+    nodes = materialise(marks.groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("size").alias("size")), "wide-prints")
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             x, node = _lanes(pdf), pdf["node"].to_numpy(dtype=np.int64)
             for a in range(0, len(x), 500):
                 r, k = pair_keys(x[a : a + 500])
-                yield pd.DataFrame({"key": k, "node": node[a : a + 500][r], "f3": x[a : a + 500, 3][r]})
-
-    def dealt_again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The key with the codeword of the block after its own pair."""
-        for pdf in batches:
-            x, key = _lanes(pdf), pdf["key"].to_numpy(dtype=np.int64)
-            t = key >> 24
-            extra = np.stack([decode(block(x, (2 * k + 2) % 8)) for k in range(PAIRS)], axis=1)[np.arange(len(x)), t]
-            yield pd.DataFrame({"key": key << 12 | extra, "node": pdf["node"], "f3": pdf["f3"]})
-
-    schema = "key long, node long, f3 long"
-    counted = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    few, many = F.col("n").between(2, bucket_limit), F.col("n") > bucket_limit
-    keys = materialise(nodes.mapInPandas(keyed, schema), "wide-keys")
-    sizes = materialise(counted(keys).where("n > 1"), "wide-sizes")
-    met = [_met(keys, sizes.where(few))]
-    if sizes.where(many).limit(1).count():
-        crowded = keys.join(sizes.where(many).select("key"), "key").select("key", "node")
-        again = materialise(crowded.join(nodes, "node").mapInPandas(dealt_again, schema), "wide-again")
-        sizes2 = materialise(counted(again).where("n > 1"), "wide-sizes")
-        met.append(_met(again, sizes2.where(few)))
-        groups = F.ceil(F.col("n") / bucket_limit)
-        split = again.join(sizes2.where(many), "key").select(F.xxhash64("key", F.pmod(F.xxhash64("node", "key"), groups)).alias("key"), "node", "f3")
-        met.append(_met(split, counted(split).where("n > 1")))
-    found = met[0]
-    for m in met[1:]:
-        found = found.union(m)
-    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in FP])
-    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in FP[1:]), F.bit_count(F.col("uf0").bitwiseXOR(F.col("vf0"))))
-    edges = found.distinct().join(side("u"), "u").join(side("v"), "v").where(apart <= MAX_BITS).select("u", "v")
+                yield pd.DataFrame({"key": k, "node": node[a : a + 500][r], "f2": x[a : a + 500, 2][r], "f3": x[a : a + 500, 3][r]})
+
+    keys = materialise(nodes.mapInPandas(keyed, "key long, node long, f2 long, f3 long"), "wide-keys")
+    sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
+    many = sizes.where(F.col("n") > bucket_limit)
+    alone = {"component": F.col("node"), "side": F.lit(-1).cast("long")}
+    pairs = _met(keys.join(sizes.where(F.col("n") <= bucket_limit), "key").withColumns(alone), ["key"])
+    crowds = many.limit(1).count() > 0
+    if crowds:
+        dealt = keys.join(many, "key").withColumns(alone | {"g": F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))})
+        pairs = pairs.union(_met(dealt, ["key", "g"], star=True)).distinct()
+    edges = _alike(pairs, nodes, docs, shingle)
+    if crowds:
+        parts = materialise(connected_components(edges), "wide-parts")
+        inside = keys.join(many, "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        mixed = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
+        tiles = F.ceil(F.col("n") / (16 * bucket_limit))
+        dealt = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+        side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
+        dealt = dealt.withColumns({"side": side, "i": F.least("own", "other"), "j": F.greatest("own", "other")})
+        late = _alike(_met(dealt, ["key", "i", "j"]), nodes, docs, shingle)
+        edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)
     parts = connected_components(edges)
-    named = nodes.join(parts, "node", "left").select(*FP, F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, FP).select("doc_id", "component_id")
+    named = nodes.join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    return marks.join(named, same).select("doc_id", "component_id")

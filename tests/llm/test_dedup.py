@@ -147,3 +147,23 @@ def test_near_copies(spark):
     assert all(got[10 + k] == 10 + k for k in range(60))
     assert {got[i] for i, _ in docs if i >= 4998} == {4998}
     assert near_copies(frame(spark, docs).limit(0)).count() == 0
+
+
+def _wide_cases(spark):
+    """Texts of distinct words, so that the shingles two of them share are plain to count."""
+    from plumbago.llm.simhash_wide import near_copies
+
+    return lambda docs, **more: {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, docs), **more).collect()}
+
+
+def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
+    """All documents in one bucket, most of them unlike: every true pair must still meet."""
+    import numpy as np
+
+    from plumbago.llm import simhash_wide
+
+    monkeypatch.setattr(simhash_wide, "pair_keys", lambda x: (np.arange(len(x)), np.full(len(x), 7, dtype=np.int64)))
+    docs = [(k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(300)]
+    docs += [(1000 + k, docs[k][1] + " tail") for k in range(0, 300, 5)]
+    got = _wide_cases(spark)(docs, bucket_limit=4)
+    assert got == {k: k - 1000 if k >= 1000 else k for k, _ in docs}
