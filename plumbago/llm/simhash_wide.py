@@ -6,8 +6,9 @@ decoded to the codewords near them, and each of four disjoint pairs of blocks gi
 codeword indices. A block of two such texts shares a nearby codeword about two times in three, so
 that at least one of the four pairs met for 87 % of edited texts at a similarity of 0.80 to 0.85, for
 93 % up to 0.90 and for 99 % above (measured on 1 200 edited documents). Pairs that meet are screened
-by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, the distance to expect at a similarity
-just below 0.8.
+by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four deviations and more above the
+distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
+similarity of ``LEAST`` or more is a link.
 
 Buckets of up to ``bucket_limit`` nodes are compared whole. In larger ones, members first meet the least
 of a small group each, which joins most near-copies of each other. Then the whole bucket is compared
@@ -35,7 +36,7 @@ from plumbago.llm.simhash import shingle_hashes
 
 LANES, PAIRS = 4, 4
 #: Bits that may differ between near-copies, of 256 and of the last two lanes' 128.
-MAX_BITS, MAX_CHECK = 46, 40
+MAX_BITS, MAX_CHECK = 72, 40
 #: The similarity of near-copies, and how many members of a crowded bucket meet at their least one.
 LEAST, GROUP = 0.8, 16
 _LANE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(LANES)], dtype=np.uint64)
@@ -129,12 +130,33 @@ def _met(members: DataFrame, by: list[str], star: bool = False) -> DataFrame:
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Those of the distinct pairs (u, v) whose fingerprints and sizes may be ``LEAST`` alike."""
+    """Those of the distinct pairs (u, v) whose sets of shingles are at least ``LEAST`` alike."""
     side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in (*FP, "size")])
     apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in FP[1:]), F.bit_count(F.col("uf0").bitwiseXOR(F.col("vf0"))))
     sizes = F.least("usize", "vsize") >= LEAST * F.greatest("usize", "vsize") - 1e-6
     close = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where((apart <= MAX_BITS) & sizes).select("u", "v").distinct(), "wide-close")
-    return close
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            held = [shingle_set(t, shingle).tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": np.array([xxhash.xxh64_intdigest(h) for h in held], dtype=np.uint64).view(np.int64), "held": held})
+        trim_memory()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            good = np.zeros(len(pdf), dtype=bool)
+            for k, (a, b) in enumerate(zip(pdf["a"], pdf["b"])):
+                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+                both = len(x) + len(y) - len(np.union1d(x, y))
+                good[k] = both >= LEAST * (len(x) + len(y) - both) - 1e-6
+            yield pdf.loc[good, ["u", "v"]]
+        trim_memory()
+
+    wanted = close.select(F.col("u").alias("doc_id")).union(close.select(F.col("v").alias("doc_id"))).distinct()
+    held = docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, digest long, held binary").dropDuplicates(["doc_id", "digest"])
+    held = materialise(held, "wide-sets")  # a repeated id stands for each of its texts
+    a, b = (held.select(F.col("doc_id").alias(n), F.col("held").alias(h)) for n, h in (("u", "a"), ("v", "b")))
+    return materialise(close.join(a, "u").join(b, "v").mapInPandas(verify, "u long, v long").distinct(), "wide-links")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = 32) -> DataFrame:

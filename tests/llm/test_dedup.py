@@ -156,6 +156,21 @@ def _wide_cases(spark):
     return lambda docs, **more: {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, docs), **more).collect()}
 
 
+def test_near_copies_are_verified(spark):
+    docs, like, unlike = [], [], []
+    for k in range(100):
+        words = [f"v{k}x{i}" for i in range(404)]  # 400 shingles
+        for at, n, told in ((0, 93, like), (10000, 110, unlike)):  # similarities of 0.81 and 0.78, on either side of 0.8
+            docs.append((at + 2 * k, " ".join([f"{at}"] * (at > 0) + words)))
+            docs.append((at + 2 * k + 1, " ".join([f"{at}"] * (at > 0) + words + [f"w{k}x{at}x{i}" for i in range(n)])))
+            told.append((at + 2 * k, at + 2 * k + 1))
+    ids = {i for pair in like for i in pair}
+    got = _wide_cases(spark)([d for d in docs if d[0] in ids])
+    assert sum(got[b] == a for a, b in like) >= 80  # those that meet; none fails the bound of bits
+    got = _wide_cases(spark)([d for d in docs if d[0] not in ids])
+    assert all(got[b] == b for _, b in unlike)
+
+
 def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
     """All documents in one bucket, most of them unlike: every true pair must still meet."""
     import numpy as np
