@@ -3,9 +3,10 @@
 Markup is stripped into lines, one for each block element. Text inside menus, headers, footers,
 asides, forms, notices, adverts, comments and the like gives empty lines, and so do lines that are
 mostly links. The lengths of a sliding window of lines form the block distribution; it surges where
-text begins and dives to nothing after a gap of empty lines, which cuts the page into regions. An
-article or main element, where there is one, says which regions belong to the text; else the region
-with most text is kept, with those at least a share of its size.
+text begins and dives to nothing after a gap of empty lines, which cuts the page into regions. Article
+and main elements, where there are any, say what belongs to the text. Else it reaches from the first
+region of ``surge`` characters or with a main heading to the last of ``surge`` characters, and all
+between is kept, however long the rest; without such a region the whole page is.
 
 Defined cases: null and empty pages give an empty text; unclosed elements end with the page or their
 parent; the text is never shortened; repeated rows are handled alike; extra columns are ignored.
@@ -41,45 +42,48 @@ _SPACE = re.compile(r"\s+")
 
 
 class _Lines:
-    """Lines of a page: (text, characters inside links, container depth), boilerplate as gaps."""
+    """Lines of a page: (text, characters inside links, container depth, main heading), boilerplate as gaps."""
 
     def __init__(self, gap: int) -> None:
         self.gap = gap
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
+        self.heading = False
 
     def end(self, container: int) -> None:
         if self.parts:
             text = _SPACE.sub(" ", "".join(self.parts)).strip()
             if text:
-                self.lines.append((text, self.linked, container))
-            self.parts, self.linked = [], 0
+                self.lines.append((text, self.linked, container, self.heading))
+            self.parts, self.linked, self.heading = [], 0, False
 
     def hole(self) -> None:
-        self.lines.extend([("", 0, 0)] * self.gap)
+        self.lines.extend([("", 0, 0, False)] * self.gap)
 
 
-def page_lines(html: str, gap: int) -> list[tuple[str, int, int]]:
+def page_lines(html: str, gap: int) -> list[tuple[str, int, int, bool]]:
     """Strip markup into lines; ``gap`` empty ones stand for each boilerplate element."""
     out, stack = _Lines(gap), []  # stack: (name, boilerplate, container number)
-    bad = links = container = containers = at = 0
+    bad = links = headings = container = containers = at = 0
 
     def text(raw: str) -> None:
         if raw and not bad:
             raw = unescape(raw)
             out.parts.append(raw)
+            out.heading |= headings > 0
             if links:
                 out.linked += len(raw.strip())
 
     def close(depth: int) -> None:
-        nonlocal bad, links, container
+        nonlocal bad, links, headings, container
         while len(stack) > depth:
             name, boiler, before = stack.pop()
             if name in BLOCK:
                 out.end(container)
             bad -= boiler
             links -= name == "a"
+            headings -= name == "h1"
             container = before
             if boiler and not bad:
                 out.hole()
@@ -146,6 +150,7 @@ def page_lines(html: str, gap: int) -> list[tuple[str, int, int]]:
             out.hole()
         bad += boiler
         links += name == "a"
+        headings += name == "h1"
         stack.append((name, boiler, container))
         if name in CONTAINER and not bad:
             containers += not container
@@ -155,10 +160,10 @@ def page_lines(html: str, gap: int) -> list[tuple[str, int, int]]:
     return out.lines
 
 
-def main_text(html: str | None, window: int = 3, link_share: float = 0.6, region_share: float = 0.3) -> str:
+def main_text(html: str | None, window: int = 3, link_share: float = 0.6, surge: int = 25) -> str:
     """The main text of one page."""
     lines = page_lines(html, window) if html else []
-    weight = [0 if not t or linked > link_share * len(t) and not box else len(t) for t, linked, box in lines]
+    weight = [0 if not t or linked > link_share * len(t) and not box and not heading else len(t) for t, linked, box, heading in lines]
     regions: list[list[int]] = []
     block = 0  # the window's sum: a surge opens a region, a dive to nothing ends it
     for i, w in enumerate(weight):
@@ -169,16 +174,12 @@ def main_text(html: str | None, window: int = 3, link_share: float = 0.6, region
             regions[-1].append(i)
     if not regions:
         return ""
-    boxes: dict[int, int] = {}
-    for i, w in enumerate(weight):
-        if lines[i][2]:
-            boxes[lines[i][2]] = boxes.get(lines[i][2], 0) + w
-    if boxes and max(boxes.values()):
-        most = max(boxes.values())
-        keep = [i for i, w in enumerate(weight) if w and boxes.get(lines[i][2], 0) >= region_share * most]
-    else:
-        sizes = [sum(weight[i] for i in r) for r in regions]
-        keep = [i for r, n in zip(regions, sizes) if n >= region_share * max(sizes) for i in r]
+    keep = [i for i, w in enumerate(weight) if w and lines[i][2]]
+    if not keep:
+        long = [k for k, r in enumerate(regions) if sum(weight[i] for i in r) >= surge]
+        first = min([*long[:1], *[k for k, r in enumerate(regions) if any(lines[i][3] for i in r)][:1]], default=0)
+        last = max(long, default=len(regions) - 1)
+        keep = [i for r in regions[min(first, last) : last + 1] for i in r]
     return "\n".join(lines[i][0] for i in keep)
 
 

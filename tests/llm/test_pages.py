@@ -91,6 +91,14 @@ def test_main_text_odd_pages():
     assert main_text("<article><p>a</p>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "</article>") == "a\ndeep"
 
 
+def test_main_text_keeps_short_regions():
+    body = "".join(f"<p>Paragraph {i} has a good many words in it, as texts do.</p>" for i in range(60))
+    page = f"<h1>Floods</h1><div class=ad>Buy</div><p>A lead of a few words only.</p><aside>x</aside>{body}<div class=ad>Buy</div><p>Short.</p><div class=ad>Buy</div><p>A closing section after an advert.</p><div class=share>s</div><div>End</div>"
+    got = main_text(page).split("\n")
+    assert got[:2] == ["Floods", "A lead of a few words only."] and got[-2:] == ["Short.", "A closing section after an advert."] and len(got) == 64
+    assert main_text(f"<article><p>Small one.</p></article><article>{body}</article>").startswith("Small one.\nParagraph 0")
+
+
 def test_extraction_keeps_rows(spark):
     rows = extract_text(frame(spark, [(1, "u", "<article><p>é x</p></article>"), (None, None, None), (1, "u", "<article><p>é x</p></article>")])).collect()
     assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in rows if r["page_id"]) == [(1, "u", "é x", 3)] * 2
