@@ -2,7 +2,9 @@
 
 Markup is stripped into lines, one for each block element. Text inside menus, headers, footers,
 asides, forms, notices, adverts, comments and the like gives empty lines, and so do lines that are
-mostly links. The lengths of a sliding window of lines form the block distribution; it surges where
+mostly links. Wrappers that look like boilerplate but hold the page's only article or main element, and
+those named for the layout (sidebar, widget, form) that together hold most of its text, count as text
+(``spared``). The lengths of a sliding window of lines form the block distribution; it surges where
 text begins and dives to nothing after a gap of empty lines, which cuts the page into regions. Article
 and main elements, where there are any, say what belongs to the text. Else it reaches from the first
 region of ``surge`` characters or with a main heading to the last of ``surge`` characters, and all
@@ -36,6 +38,9 @@ HINT = re.compile(
     r"|pagination|pager|copyright|legal|disclaimer|contentinfo|complementary|navigation|form|skip)(?:$|[\s_-]|\d)",
     re.I,
 )
+#: Fixed value: words of it that say where an element stands, not what it is; and words that a class only mentions.
+LAYOUT = re.compile(r"side(?:bar\w*)?|widget\w*|form|header|masthead|topbar|toolbar|overlay|modal", re.I)
+_MENTION = re.compile(r"(?:^|[\s_-])(?:no|has|with|without|hide)[_-]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
@@ -62,12 +67,48 @@ class _Lines:
         self.lines.extend([("", 0, 0, False)] * self.gap)
 
 
-def page_lines(html: str, gap: int) -> list[tuple[str, int, int, bool]]:
-    """Strip markup into lines; ``gap`` empty ones stand for each boilerplate element."""
+class _Element:
+    """An element that looks like boilerplate: characters of text outside links, and articles, without those of such elements inside."""
+
+    def __init__(self, number: int, layout: bool) -> None:
+        self.number, self.layout = number, layout
+        self.text = self.articles = 0
+        self.inside: list[_Element] = []
+
+
+def spared(page: _Element) -> set[int]:
+    """Numbers of the elements that are text after all, from the outermost inwards."""
+    held, todo = {}, [page]
+    for e in todo:
+        todo.extend(e.inside)
+    for e in reversed(todo):
+        held[e] = (e.text + sum(held[x][0] for x in e.inside), e.articles + sum(held[x][1] for x in e.inside))
+    articles, outer, out = page.articles, list(page.inside), set()
+    while True:
+        wrappers = [e for e in outer if held[e][1]] if not articles else []
+        layout = [e for e in outer if e.layout]
+        if wrappers:
+            found = [max(wrappers, key=lambda e: held[e][0])]
+        elif not articles and 2 * sum(held[e][0] for e in layout) > held[page][0]:
+            found = layout
+        else:
+            return out
+        for e in found:
+            out.add(e.number)
+            articles += e.articles
+        outer = [e for e in outer if e not in found] + [x for e in found for x in e.inside]
+
+
+def page_lines(html: str, gap: int, spare: set[int] | None = None) -> list[tuple[str, int, int, bool]]:
+    """Strip markup into lines; ``gap`` empty ones stand for each boilerplate element but those to ``spare``."""
     out, stack = _Lines(gap), []  # stack: (name, boilerplate, container number)
+    page = _Element(-1, False)
+    within, number = [page], 0
     bad = links = headings = container = containers = at = 0
 
     def text(raw: str) -> None:
+        if raw and not links:
+            within[-1].text += len(raw.strip())
         if raw and not bad:
             raw = unescape(raw)
             out.parts.append(raw)
@@ -82,6 +123,8 @@ def page_lines(html: str, gap: int) -> list[tuple[str, int, int, bool]]:
             if name in BLOCK:
                 out.end(container)
             bad -= boiler
+            if boiler:
+                within.pop()
             links -= name == "a"
             headings -= name == "h1"
             container = before
@@ -141,10 +184,25 @@ def page_lines(html: str, gap: int) -> list[tuple[str, int, int, bool]]:
                     if stack[depth][0] in BLOCK:
                         break
         boiler = name in BOILERPLATE
+        layout = name in ("form", "fieldset")
         if not boiler and name not in ("html", "body") and m[3]:
+            words, hidden = [], False
             for key, a, b, c in _ATTRIBUTE.findall(m[3]):
                 key, value = key.lower(), a or b or c
-                boiler |= key in ("class", "id", "role") and name not in CONTAINER and bool(HINT.search(value)) or key == "hidden" or key == "aria-hidden" and value.lower() == "true"
+                if key in ("class", "id", "role") and name not in CONTAINER and HINT.search(value):
+                    words += [w for w in _MENTION.sub(" ", value).split() if HINT.search(w)]
+                hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true"
+            boiler = hidden or bool(words)
+            layout = not hidden and all(LAYOUT.search(w) and not HINT.search(LAYOUT.sub("", w)) for w in words)
+        if boiler:
+            number += 1
+            if spare and number in spare:
+                boiler = False
+        if boiler:
+            within[-1].inside.append(_Element(number, layout))
+            within.append(within[-1].inside[-1])
+        if name in CONTAINER:
+            within[-1].articles += 1
         if boiler and not bad:
             out.end(container)
             out.hole()
@@ -157,6 +215,8 @@ def page_lines(html: str, gap: int) -> list[tuple[str, int, int, bool]]:
             container = container or containers
     close(0)
     out.end(0)
+    if spare is None and page.inside and (spare := spared(page)):
+        return page_lines(html, gap, spare)
     return out.lines
 
 

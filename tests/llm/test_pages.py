@@ -99,6 +99,22 @@ def test_main_text_keeps_short_regions():
     assert main_text(f"<article><p>Small one.</p></article><article>{body}</article>").startswith("Small one.\nParagraph 0")
 
 
+def test_main_text_inside_layout_wrappers():
+    body = "".join(f"<p>Paragraph {i} has a good many words in it, as texts do.</p>" for i in range(6))
+    noise = "<aside><p>Teasers</p></aside><div class=comments><p>A reader says something here.</p></div>"
+    want = body.replace("<p>", "").replace("</p>", "\n").strip()
+    for wrapper in ("div class='content no-sidebar'", "div class='has-sidebar'", "div class='elementor-widget'", "div class='l-side main'", "form id=aspnetForm"):
+        for inner in (f"<article>{body}</article>", f"<main>{body}</main>", f"<div>{body}</div>"):
+            assert main_text(f"<nav><a href=/>Menu</a></nav><{wrapper}>{inner}{noise}</{wrapper.split()[0]}><footer>f</footer>") == want, (wrapper, inner)
+    parts = "".join(f"<div class='elementor-widget'>{p}</p></div>" for p in body.split("</p>")[:-1])
+    assert main_text(parts + noise) == want
+    teaser = "<aside><article><p>Read on about something else.</p></article></aside>"
+    assert main_text(f"<form>{teaser}<article>{body}</article></form>") == main_text(f"{teaser}<article>{body}</article>") == want
+    assert main_text(f"<div class=has-sidebar>{body}<div class=sidebar><p>Other matters.</p></div></div>") == want
+    many = "<p>A reader says a lot more than the text does.</p>" * 30
+    assert main_text(f"<div>{body}</div><div class=comments>{many}</div><div hidden>{many}</div>") == want
+
+
 def test_extraction_keeps_rows(spark):
     rows = extract_text(frame(spark, [(1, "u", "<article><p>é x</p></article>"), (None, None, None), (1, "u", "<article><p>é x</p></article>")])).collect()
     assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in rows if r["page_id"]) == [(1, "u", "é x", 3)] * 2
