@@ -44,6 +44,9 @@ _MENTION = re.compile(r"(?:^|[\s_-])(?:no|has|with|without|hide)[_-]\S*", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
+#: In the page itself: a lower-cased copy can be longer (U+0130).
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
+_BODY = re.compile("<body", re.I | re.A)
 
 
 class _Lines:
@@ -131,7 +134,6 @@ def page_lines(html: str, gap: int, spare: set[int] | None = None) -> list[tuple
             if boiler and not bad:
                 out.hole()
 
-    lower = None
     while True:
         m = _TOKEN.search(html, at)
         if m is None:
@@ -157,14 +159,14 @@ def page_lines(html: str, gap: int, spare: set[int] | None = None) -> list[tuple
         if name in RAW:  # all that stands up to the end tag is no text
             if m[0].endswith("/>"):
                 continue
-            lower = lower if lower is not None else html.lower()
-            end = lower.find(f"</{name}", at)
-            if name == "head" and end < 0:
-                end = lower.find("<body", at)
-                end = at if end < 0 else end
-            if end < 0:
+            end = _RAW_END[name].search(html, at)
+            if end is None and name == "head":
+                body = _BODY.search(html, at)
+                at = body.start() if body else at
+                continue
+            if end is None:
                 break
-            shut = html.find(">", end) if lower.startswith("</", end) else end - 1
+            shut = html.find(">", end.start())
             at = len(html) if shut < 0 else shut + 1
             continue
         if name == "br":

@@ -115,6 +115,11 @@ def test_main_text_inside_layout_wrappers():
     assert main_text(f"<div>{body}</div><div class=comments>{many}</div><div hidden>{many}</div>") == want
 
 
+def test_main_text_with_letters_that_grow():
+    assert main_text("<article><p>" + "\u0130" * 30 + "</p><SCRIPT>var a</Script><p>First one.</p><style>x</style><p>Second one.</p></article>") == "\u0130" * 30 + "\nFirst one.\nSecond one."
+    assert main_text("<head><title>\u0130\u0130</title><BODY><p>Text after an open head.</p>") == "Text after an open head."
+
+
 def test_extraction_keeps_rows(spark):
     rows = extract_text(frame(spark, [(1, "u", "<article><p>é x</p></article>"), (None, None, None), (1, "u", "<article><p>é x</p></article>")])).collect()
     assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in rows if r["page_id"]) == [(1, "u", "é x", 3)] * 2
