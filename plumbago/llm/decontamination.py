@@ -1,7 +1,8 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
 Test items are a stated query set; they are indexed in blocks of bounded size, and each block meets
-all documents. Every document is cut into overlapping passages (each item fits into one whole), and
+all documents. Statistics and the width of passages are those of the whole set, so that no score depends
+on the blocks. Every document is cut into overlapping passages (each item fits into one whole), and
 every passage is a query. Items are sorted by length into small blocks, and each word knows its
 largest contribution in each block. A passage skips the blocks whose maxima can't reach the
 threshold together; in the others WAND walks the posting lists with the block's maxima as bounds.
@@ -21,14 +22,17 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
-from itertools import repeat
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbago.llm.common import materialise
+
 K1, B = 1.2, 0.75
 SHINGLE = 5
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
@@ -55,10 +59,20 @@ def share_found(parts: list[tuple[bytes, ...]], words: list[bytes], there: set[t
     return sum(p in there for p in parts) / len(parts)
 
 
+@dataclass
+class Statistics:
+    """What scores need to know of all items: their number, words and longest one, and how many hold each word."""
+
+    items: int
+    words: int
+    longest: int
+    seen: Mapping[bytes, int]
+
+
 class ItemIndex:
-    """Inverted index of one block of items, with block-max bounds."""
+    """Inverted index of one block of items, with block-max bounds. Without statistics the block is the whole set."""
 
-    def __init__(self, items: list[tuple[int, str]], block: int = 4) -> None:
+    def __init__(self, items: list[tuple[int, str]], block: int = 4, whole: Statistics | None = None) -> None:
         self.ids, self.parts, lists = [], [], []
         for item, text in sorted(items, key=lambda x: len(words_of(x[1]))):  # like lengths share a block, so its maxima are tight
             words = words_of(text)
@@ -69,26 +83,26 @@ class ItemIndex:
             self.ids.append(item)
             self.parts.append(tuple(shingles(x) for x in (words, words_of(question), words_of(answer))))
             lists.append(words)
-        n = len(lists)
-        mean = sum(map(len, lists)) / max(1, n)
         seen = Counter(w for own in lists for w in set(own))
+        whole = whole or Statistics(len(lists), sum(map(len, lists)), max(map(len, lists), default=0), seen)
+        n, mean = whole.items, whole.words / max(1, whole.items)
         self.terms = {w: i for i, w in enumerate(seen)}
-        idf = {w: float(np.log1p((n - k + 0.5) / (k + 0.5))) for w, k in seen.items()}
+        idf = {w: float(np.log1p((n - k + 0.5) / (k + 0.5))) for w, k in ((w, whole.seen[w]) for w in seen)}
         gained: list[list[tuple[int, float]]] = [[] for _ in self.terms]
         for i, own in enumerate(lists):
             gain = {w: idf[w] * k * (K1 + 1) / (k + K1 * (1 - B + B * len(own) / mean)) for w, k in Counter(own).items()}
-            whole = sum(gain.values()) or 1.0
+            most = sum(gain.values()) or 1.0
             for w, g in gain.items():
-                gained[self.terms[w]].append((i, g / whole))
+                gained[self.terms[w]].append((i, g / most))
         self.items = [[i for i, _ in p] for p in gained]
         self.gains = [[g for _, g in p] for p in gained]
         self.block = block
-        self.bounds = np.zeros((len(self.terms) + 1, -(-n // block)), dtype=np.float32)  # the last row is for words outside the index
+        self.bounds = np.zeros((len(self.terms) + 1, -(-len(lists) // block)), dtype=np.float32)  # the last row is for words outside the index
         for t, postings in enumerate(gained):
             for i, g in postings:
                 self.bounds[t, i // block] = max(self.bounds[t, i // block], g)
         self.bounds *= 1 + 1e-6  # single precision never rounds a bound below its gains
-        self.longest = max(map(len, lists), default=0)
+        self.longest = whole.longest
 
     def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
         """All items whose score over the given distinct terms is at least ``least``."""
@@ -175,6 +189,30 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
         yield held
 
 
+def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[ItemIndex]:
+    """An index for each block. Beyond one block, Spark counts words over all items, and a block gets those it holds."""
+    blocks = item_blocks(items, id_col, text_col, block_bytes)
+    first = list(islice(blocks, 2))
+    if len(first) < 2:
+        yield from map(ItemIndex, first)
+        return
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            lists = [w for t in pdf["t"] if (w := words_of(t))]
+            seen = Counter(w for own in lists for w in set(own))
+            yield pd.DataFrame({"word": [None, *seen], "items": [len(lists), *seen.values()], "words": sum(map(len, lists)), "longest": max(map(len, lists), default=0)})
+
+    texts = items.select(F.col(text_col).alias("t")).where("t is not null")
+    sums = texts.mapInPandas(counted, "word binary, items long, words long, longest long").groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    sums = materialise(sums, "item-words")  # the row without a word is for all items
+    total = sums.where("word is null").first()
+    for block in chain(first, blocks):
+        own = pd.DataFrame({"word": list({w for _, t in block for w in words_of(t)})}, dtype=object)
+        held = sums.join(F.broadcast(items.sparkSession.createDataFrame(own, "word binary")), "word").select("word", "items").collect() if len(own) else []
+        yield ItemIndex(block, whole=Statistics(total["items"], total["words"], total["longest"], {bytes(r["word"]): r["items"] for r in held}))
+
+
 def find_leaks(
     df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
     least: float = 0.6, overlap: float = 0.8, block_bytes: int = 1 << 20,
@@ -188,8 +226,8 @@ def find_leaks(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, score double, item_share double, question_share double, answer_share double"
     out = None
-    for block in item_blocks(items, item_col, item_text, block_bytes):
-        sent = spark.sparkContext.broadcast(ItemIndex(block))
+    for index in indexes(items, item_col, item_text, block_bytes):
+        sent = spark.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = sent.value

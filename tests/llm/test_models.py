@@ -178,3 +178,15 @@ def test_wand_returns_all_above_threshold():
             got = dict(index.search(own, least))
             assert got.keys() == {i for i, s in want.items() if s >= least - 1e-12} or min(abs(s - least) for s in want.values()) < 1e-9
             assert all(abs(want[i] - s) < 1e-9 for i, s in got.items())
+
+
+def test_leak_scores_do_not_depend_on_blocks(spark):
+    from plumbago.llm.decontamination import find_leaks
+
+    rng = random.Random(3)
+    items = [(k, " ".join(f"{'common' if rng.random() < 0.3 else 'rare'}{rng.randrange(40)}" for _ in range(10 + 3 * (k % 9)))) for k in range(40)] + [(90, None), (91, " ")]
+    docs = [(k, "before it " * 5 + (t or "").rpartition(" ")[0] + " after it" * 5) for k, t in items]  # the last word is missing
+    held, texts = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    whole, blocks = (sorted(map(tuple, find_leaks(texts, held, block_bytes=n).collect())) for n in (1 << 20, 600))
+    assert len(whole) >= 40 and [r[:2] for r in whole] == [r[:2] for r in blocks]
+    assert all(abs(a - b) < 1e-9 for x, y in zip(whole, blocks) for a, b in zip(x, y))
