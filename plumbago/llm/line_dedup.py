@@ -8,7 +8,8 @@ measured size is within a bound; beyond it every line key goes to the exact join
 Deleting documents removes their rows and takes keys that fall below the limit out of the filters.
 
 Defined cases: null and empty texts are one empty line; blank and short lines are never dropped;
-a repeated row counts once for its document id; extra columns are ignored.
+a repeated row counts once for its document id; rows without an id are one document, which never keeps a
+frequent line where one with an id holds it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -237,7 +238,8 @@ def dedup_lines(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *columns)
     bare = docs.select("doc_id", "text")
     index = index or LineIndex.build(bare, least, least_docs, keep_postings=False)
-    joined = docs.join(index.drops(bare), "doc_id", "left")
+    lost = index.drops(bare).withColumnRenamed("doc_id", "of")
+    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
     kept = [c for c in joined.columns if c not in ("text", "keys")]
     fields = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
     schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts

@@ -149,6 +149,13 @@ def test_near_copies(spark):
     assert near_copies(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_line_dedup_without_an_id(spark):
+    line = "a line that is long enough to count"
+    docs = [(1, line + "\none"), (2, line + "\ntwo"), (3, line), (None, line + "\nfour"), (None, "five")]
+    rows = line_dedup.dedup_lines(frame(spark, docs)).collect()
+    assert sorted((r["doc_id"] or 0, r["n_dropped"], r["kept_text"]) for r in rows) == [(0, 0, "five"), (0, 1, "four"), (1, 1, "one"), (2, 1, "two"), (3, 0, line)]
+
+
 def _wide_cases(spark):
     """Texts of distinct words, so that the shingles two of them share are plain to count."""
     from plumbago.llm.simhash_wide import near_copies
