@@ -1,4 +1,4 @@
-"""The perfect binary Golay code of length 23: decoding, and the codewords near a word."""
+"""The perfect binary Golay code of length 23: decoding, and the codewords near a word or near a row of votes."""
 
 from __future__ import annotations
 
@@ -53,3 +53,18 @@ def near_codewords(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     new = np.c_[np.ones(len(words), bool), index[:, 1:] != index[:, :-1]]
     row, col = np.nonzero(new)
     return row, index[row, col]
+
+
+#: All codewords as rows of -1 and 1, systematic: the index stands in the upper twelve bits.
+_SIGNS = (((np.arange(1 << DATA)[:, None] << CHECK | _HIGH[:, None]) >> np.arange(LENGTH) & 1) * 2 - 1).astype(np.float32)
+
+
+def soft_codewords(votes: np.ndarray, times: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``times`` codewords that agree best with rows of 23 signed votes, and how much less than the best they do.
+
+    Soft decoding: a bit counts by its majority, so that bits that hang by a few votes hardly hold a codeword back.
+    """
+    score = votes.astype(np.float32) @ _SIGNS.T
+    index = np.argpartition(score, -times, axis=1)[:, -times:]
+    found = np.take_along_axis(score, index, axis=1)
+    return index, found.max(axis=1, keepdims=True) - found

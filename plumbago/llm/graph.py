@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise
+from plumbago.llm.common import discard, materialise
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -37,7 +37,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = materialise(_star(_star(now, True), False), "edges")
+        before, now = now, materialise(_star(_star(now, True), False), "edges")
+        discard(before)  # the new table holds all that later rounds need
         if (new := mark(now)) == seen:
             break
         seen = new

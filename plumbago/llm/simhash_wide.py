@@ -1,13 +1,13 @@
-"""Near-copies by a 256-bit SimHash and pairs of Golay blocks.
+"""Near-copies by a 256-bit SimHash and pairs of softly decoded Golay blocks.
 
 For texts whose five-word shingles are 80 % alike, a 64-bit SimHash differs in about ten bits, far
-beyond what segments of it can meet exactly. Here eight 23-bit blocks of a longer fingerprint are
-decoded to the codewords near them, and each of four disjoint pairs of blocks gives join keys of two
-codeword indices. A block of two such texts shares a nearby codeword about two times in three, so
-that at least one of the four pairs met for 87 % of edited texts at a similarity of 0.80 to 0.85, for
-93 % up to 0.90 and for 99 % above (measured on 1 200 edited documents). Pairs that meet are screened
-by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four deviations and more above the
-distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
+beyond what segments of it can meet exactly. Here six 23-bit blocks of a longer fingerprint are decoded
+to codewords with the votes behind their bits (a bit that hangs by a few shingles counts little), and
+each of three disjoint pairs of blocks gives ``KEYS`` join keys: the pairs of codeword indices that
+agree best with the votes. At a similarity of 0.8 a pair of blocks meets about three times in four, so
+that 98 % of such texts meet in one of the three (tests/llm/test_dedup.py measures it). Pairs that meet
+are screened by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four deviations and more above
+the distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
 similarity of ``LEAST`` or more is a link.
 
 Buckets of up to ``bucket_limit`` nodes are compared whole. In larger ones, members first meet the least
@@ -15,8 +15,12 @@ of a small group each, which joins most near-copies of each other. Then the whol
 tile against tile, for members that are not yet in one component; so no pair of a bucket is left out,
 and a crowd of near-copies costs little.
 
-Defined cases: null, empty and blank texts are one node; rows without an id are left out of the
-components; repeated rows and equal sets of shingles are one node; extra columns are ignored.
+A node is a distinct set of shingles, named by a 64-bit hash of it (10^10 sets have about three chance
+collisions, each of which would link two texts).
+
+Defined cases: null, empty and blank texts are one node; rows without an id are linked like any other but
+never name a component unless all its members lack one; repeated rows and equal sets of shingles are one
+node; one id on two texts is two nodes; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,15 +30,17 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import hold_cache, materialise, trim_memory
-from plumbago.llm.golay import LENGTH, near_codewords
+from plumbago.llm.common import hold_cache, map_frames, materialise, trim_memory
+from plumbago.llm.golay import LENGTH, soft_codewords
 from plumbago.llm.graph import connected_components
 from plumbago.llm.simhash import shingle_hashes
 
-LANES, PAIRS = 4, 4
+LANES, PAIRS = 4, 3
+#: Keys of a pair of blocks, and the codewords of a block they are made from.
+KEYS, NEAR = 12, 8
 #: Bits that may differ between near-copies, of 256 and of the last two lanes' 128.
 MAX_BITS, MAX_CHECK = 72, 40
 #: The similarity of near-copies, and how many members of a crowded bucket meet at their least one.
@@ -58,75 +64,85 @@ def shingle_set(text: str | None, shingle: int = 5) -> np.ndarray:
     return np.unique(shingle_hashes(text, shingle))
 
 
-def wide_simhash(h: np.ndarray) -> np.ndarray:
-    """Majority bits over four mixes of each hash of a set of shingles, as four signed integers."""
+def votes(h: np.ndarray) -> np.ndarray:
+    """For each bit of four mixes of the hashes of a set of shingles, ones less zeros."""
     ones = np.zeros(64 * LANES, dtype=np.int64)
-    for a in range(0, len(h), 4096):
-        x = h[a : a + 4096, None] + _LANE
+    for a in range(0, len(h), 2048):
+        x = h[a : a + 2048, None] + _LANE
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         ones += np.unpackbits(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(h), bitorder="little").view(np.int64)
+    return 2 * ones - len(h)
 
 
-def block(prints: np.ndarray, number: int) -> np.ndarray:
-    """The 23 bits of a block from rows of four lanes."""
-    x = prints.view(np.uint64)
-    lane, off = divmod(LENGTH * number, 64)
-    v = x[:, lane] >> np.uint64(off)
-    if off + LENGTH > 64:
-        v = v | x[:, lane + 1] << np.uint64(64 - off)
-    return (v & np.uint64((1 << LENGTH) - 1)).astype(np.int64)
+def wide_simhash(count: np.ndarray) -> np.ndarray:
+    """Majority bits of rows of votes, as four signed integers each."""
+    return np.packbits(count > 0, axis=-1, bitorder="little").view(np.int64)
 
 
-def pair_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and keys: pair number, a codeword index near its first block and one near its second."""
-    rows, keys = [], []
+def pair_keys(count: np.ndarray) -> np.ndarray:
+    """Join keys of rows of votes: pair number, and the indices of codewords of its two blocks that agree best together."""
+    out = []
     for t in range(PAIRS):
-        r1, c1 = near_codewords(block(prints, 2 * t))
-        r2, c2 = near_codewords(block(prints, 2 * t + 1))
-        size = np.bincount(r2, minlength=len(prints))
-        start = np.r_[0, np.cumsum(size)[:-1]]
-        times = size[r1]
-        first = np.repeat(np.arange(len(r1)), times)
-        within = np.arange(len(first)) - np.repeat(np.cumsum(times) - times, times)
-        second = start[r1[first]] + within
-        rows.append(r1[first])
-        keys.append(np.int64(t) << 24 | c1[first] << 12 | c2[second])
-    return np.concatenate(rows), np.concatenate(keys)
+        (a, la), (b, lb) = (soft_codewords(count[:, LENGTH * k : LENGTH * (k + 1)], NEAR) for k in (2 * t, 2 * t + 1))
+        loss = (la[:, :, None] + lb[:, None, :]).reshape(len(count), -1)
+        both = (a[:, :, None] << 12 | b[:, None, :]).reshape(len(count), -1)
+        best = np.argpartition(loss, KEYS - 1, axis=1)[:, :KEYS]
+        out.append(np.int64(t) << 24 | np.take_along_axis(both, best, axis=1))
+    return np.concatenate(out, axis=1)
+
+
+def text_mark(text: Column) -> Column:
+    """What tells the texts of a repeated id apart, besides the id."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _screened(f2: str, f3: str, g2: str, g3: str) -> Column:
+    return F.bit_count(F.col(f2).bitwiseXOR(F.col(g2))) + F.bit_count(F.col(f3).bitwiseXOR(F.col(g3))) <= MAX_CHECK
+
 
+def _all_met(members: DataFrame) -> DataFrame:
+    """Pairs (u, v) of the nodes of buckets of bounded size that pass the check bits."""
+    a = members.select("key", F.col("node").alias("u"), F.col("f2").alias("u2"), F.col("f3").alias("u3"))
+    b = members.select("key", F.col("node").alias("v"), F.col("f2").alias("v2"), F.col("f3").alias("v3"))
+    met = a.join(b, "key").where((F.col("u") < F.col("v")) & _screened("u2", "u3", "v2", "v3"))
+    return met.select("u", "v").distinct()
 
-def _lanes(pdf: pd.DataFrame) -> np.ndarray:
-    return np.ascontiguousarray(pdf[FP].to_numpy(dtype=np.int64))
 
+def _star_met(members: DataFrame) -> DataFrame:
+    """Pairs of each member with the least of its group (key, g) that pass the check bits."""
+    least = members.groupBy("key", "g").agg(F.min(F.struct("node", "f2", "f3")).alias("hub")).select("key", "g", F.col("hub.node").alias("u"), F.col("hub.f2").alias("u2"), F.col("hub.f3").alias("u3"))
+    met = members.join(least, ["key", "g"]).where((F.col("node") != F.col("u")) & _screened("f2", "f3", "u2", "u3"))
+    return met.select("u", F.col("node").alias("v")).distinct()
 
-def _met(members: DataFrame, by: list[str], star: bool = False) -> DataFrame:
-    """Pairs (u, v) of members (node, component, side, f2, f3) of one bucket that pass the check bits.
 
-    Members of one component or of one side (-1: none) are no pair; with ``star`` only pairs with the least member count.
+def _tiles_met(members: DataFrame) -> DataFrame:
+    """Pairs that pass the check bits between the sides of each tile (key, i, j) of a crowded bucket, or inside it (side -1).
+
+    Members of one component are no pair. A tile has two sides of bounded size at most.
     """
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold_cache(_NONE)
         for pdf in batches:
-            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for columns in zip(*(pdf[c] for c in ("node", "component", "side", "f2", "f3"))):
                 n, part, side, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
                 if (part == part[0]).all():
                     continue
-                order = np.argsort(n, kind="stable")
-                n, part, side, f2, f3 = n[order], part[order], side[order], f2[order].view(np.uint64), f3[order].view(np.uint64)
-                for k in range(1 if star else len(n) - 1):
+                f2, f3, us, vs = f2.view(np.uint64), f3.view(np.uint64), [], []
+                for k in range(len(n) - 1):
                     near = np.bitwise_count(f2[k + 1 :] ^ f2[k]) + np.bitwise_count(f3[k + 1 :] ^ f3[k]) <= MAX_CHECK
                     near &= (part[k + 1 :] != part[k]) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
                     if near.any():
                         vs.append(n[k + 1 :][near])
                         us.append(np.full(len(vs[-1]), n[k]))
-            yield pd.DataFrame({"u": np.concatenate(us), "v": np.concatenate(vs)})
+                if us:
+                    u, v = np.concatenate(us), np.concatenate(vs)
+                    yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
 
-    lists = members.groupBy(*by).agg(F.collect_list(F.struct("node", "component", "side", "f2", "f3")).alias("m"))
-    return lists.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "component", "side", "f2", "f3")]).mapInPandas(compare, "u long, v long").distinct()
+    lists = members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "component", "side", "f2", "f3")).alias("m"))
+    return lists.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "component", "side", "f2", "f3")]).transform(map_frames, compare, "u long, v long").distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
@@ -138,8 +154,9 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) ->
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            held = [shingle_set(t, shingle).tobytes() for t in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "digest": np.array([xxhash.xxh64_intdigest(h) for h in held], dtype=np.uint64).view(np.int64), "held": held})
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                yield pd.DataFrame({"node": part["node"].to_numpy(), "held": [shingle_set(t, shingle).tobytes() for t in part["text"]]})
         trim_memory()
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,48 +169,55 @@ def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) ->
             yield pdf.loc[good, ["u", "v"]]
         trim_memory()
 
-    wanted = close.select(F.col("u").alias("doc_id")).union(close.select(F.col("v").alias("doc_id"))).distinct()
-    held = docs.join(wanted, "doc_id", "left_semi").mapInPandas(sets, "doc_id long, digest long, held binary").dropDuplicates(["doc_id", "digest"])
-    held = materialise(held, "wide-sets")  # a repeated id stands for each of its texts
-    a, b = (held.select(F.col("doc_id").alias(n), F.col("held").alias(h)) for n, h in (("u", "a"), ("v", "b")))
-    return materialise(close.join(a, "u").join(b, "v").mapInPandas(verify, "u long, v long").distinct(), "wide-links")
+    wanted = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
+    # the text of one row stands for each node
+    chosen = nodes.join(wanted, "node").select("node", F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"))
+    both = docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["mark"] == chosen["mark"])
+    texts = docs.join(chosen, both).select("node", "text").transform(map_frames, sets, "node long, held binary")
+    held = materialise(texts, "wide-sets")
+    a, b = (held.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("u", "a"), ("v", "b")))
+    return materialise(close.join(a, "u").join(b, "v").transform(map_frames, verify, "u long, v long").distinct(), "wide-links")
 
 
 def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = 32) -> DataFrame:
-    """Rows (doc_id, component_id) of every document with an id; component_id is the least id reachable."""
+    """Rows (doc_id, mark, component_id, stays) of every document.
+
+    component_id is the least id reachable. ``mark`` is the text's (``text_mark``), and of each component the rows
+    stay that have its least id and, where that id has several texts there, the text with the least mark.
+    """
 
     def prints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold_cache(_NONE)
         for pdf in batches:
-            rows = []
-            for t in pdf["text"]:
-                h = shingle_set(t, shingle)
-                rows.append((*wide_simhash(h), np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64), len(h)))
-            yield pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, LANES + 2), columns=[*same, "size"]).assign(doc_id=pdf["doc_id"].to_numpy())[["doc_id", *same, "size"]]
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                sizes, digests, count = [], [], np.empty((len(part), 64 * LANES), dtype=np.int64)
+                for i, t in enumerate(part["text"]):
+                    h = shingle_set(t, shingle)
+                    count[i] = votes(h)
+                    sizes.append(len(h))
+                    digests.append(xxhash.xxh64_intdigest(h.tobytes()))
+                lanes = wide_simhash(count)
+                yield pd.DataFrame({
+                    "doc_id": part["doc_id"].array, "mark": part["mark"].array, **{c: lanes[:, k] for k, c in enumerate(FP)},
+                    "node": np.array(digests, dtype=np.uint64).view(np.int64), "size": np.array(sizes, dtype=np.int64), "keys": list(pair_keys(count)),
+                })
         trim_memory()
 
-    same = [*FP, "digest"]
-    lanes = ", ".join(f"{c} long" for c in same)
-    docs = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    marks = materialise(docs.mapInPandas(prints, f"doc_id long, {lanes}, size long"), "wide-marks")
-    nodes = materialise(marks.groupBy(*same).agg(F.min("doc_id").alias("node"), F.max("size").alias("size")), "wide-prints")
-
-    def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x, node = _lanes(pdf), pdf["node"].to_numpy(dtype=np.int64)
-            for a in range(0, len(x), 500):
-                r, k = pair_keys(x[a : a + 500])
-                yield pd.DataFrame({"key": k, "node": node[a : a + 500][r], "f2": x[a : a + 500, 2][r], "f3": x[a : a + 500, 3][r]})
-
-    keys = materialise(nodes.mapInPandas(keyed, "key long, node long, f2 long, f3 long"), "wide-keys")
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", text_mark(F.col("text")))
+    lanes = ", ".join(f"{c} long" for c in FP)
+    marks = materialise(docs.transform(map_frames, prints, f"doc_id long, mark long, {lanes}, node long, size long, keys array<long>"), "wide-marks")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "mark"))
+    facts = marks.groupBy("node").agg(*[F.min(c).alias(c) for c in (*FP, "size")], least.alias("first"))
+    nodes = materialise(facts.select("node", *FP, "size", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "wide-prints")
+    one = marks.join(nodes.select("node", "first_id", "first_mark"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
+    keys = materialise(one.select("node", "f2", "f3", F.explode("keys").alias("key")), "wide-keys")  # a repeated row repeats its keys, which changes no link
     sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
     many = sizes.where(F.col("n") > bucket_limit)
-    alone = {"component": F.col("node"), "side": F.lit(-1).cast("long")}
-    pairs = _met(keys.join(sizes.where(F.col("n") <= bucket_limit), "key").withColumns(alone), ["key"])
+    pairs = _all_met(keys.join(sizes.where(F.col("n") <= bucket_limit), "key"))
     crowds = many.limit(1).count() > 0
     if crowds:
-        dealt = keys.join(many, "key").withColumns(alone | {"g": F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))})
-        pairs = pairs.union(_met(dealt, ["key", "g"], star=True)).distinct()
+        pairs = pairs.union(_star_met(keys.join(many, "key").withColumn("g", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))))).distinct()
     edges = _alike(pairs, nodes, docs, shingle)
     if crowds:
         parts = materialise(connected_components(edges), "wide-parts")
@@ -203,8 +227,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         dealt = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
         side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
         dealt = dealt.withColumns({"side": side, "i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        late = _alike(_met(dealt, ["key", "i", "j"]), nodes, docs, shingle)
+        late = _alike(_tiles_met(dealt), nodes, docs, shingle)
         edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)
     parts = connected_components(edges)
-    named = nodes.join(parts, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    return marks.join(named, same).select("doc_id", "component_id")
+    placed = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.struct(F.col("first_id").isNull().alias("bare"), F.col("first_id").alias("id"), F.col("first_mark").alias("mark")).alias("first"))
+    heads = placed.groupBy("component").agg(F.min("first").alias("head"))
+    named = materialise(placed.join(heads, "component").select("node", "head"), "wide-named")
+    stays = F.col("doc_id").eqNullSafe(F.col("head.id")) & (F.col("mark") == F.col("head.mark"))
+    return marks.join(named, "node").select("doc_id", "mark", F.col("head.id").alias("component_id"), stays.alias("stays"))

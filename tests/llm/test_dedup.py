@@ -114,6 +114,8 @@ def test_substrings(spark):
     docs = made()
     got = dedup_substrings(frame(spark, docs), chunk_bytes=3000, bucket_bytes=2000)
     assert {tuple(r) for r in got.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == brute.op10(docs)
+    two_levels = dedup_substrings(frame(spark, docs), chunk_bytes=3000, bucket_bytes=700, ranges=3)
+    assert {tuple(r) for r in two_levels.select("doc_id", "n_words", "n_removed", "kept_sha256").collect()} == brute.op10(docs)
     row = got.where("doc_id = 300").first()
     assert [tuple(x) for x in row["removed"]] == [(0, 40000)] and row["kept_text"] == ""
     assert dedup_substrings(frame(spark, docs).limit(0)).count() == 0
@@ -184,8 +186,44 @@ def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
 
     from plumbago.llm import simhash_wide
 
-    monkeypatch.setattr(simhash_wide, "pair_keys", lambda x: (np.arange(len(x)), np.full(len(x), 7, dtype=np.int64)))
+    monkeypatch.setattr(simhash_wide, "pair_keys", lambda x: np.full((len(x), 1), 7, dtype=np.int64))
     docs = [(k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(300)]
     docs += [(1000 + k, docs[k][1] + " tail") for k in range(0, 300, 5)]
     got = _wide_cases(spark)(docs, bucket_limit=4)
     assert got == {k: k - 1000 if k >= 1000 else k for k, _ in docs}
+
+
+def test_near_copies_meet():
+    """Of edited texts just above the bound of similarity, at least nine in ten share a key (measured: 98 % at 0.80 to 0.85)."""
+    import numpy as np
+
+    from plumbago.llm import simhash_wide as w
+
+    rng = random.Random(12)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklmn" for b in ("ar", "el", "in", "om", "us") for c in ("", "ta", "ne", "ri", "sk", "ul", "es")]
+    met = {0.80: [], 0.85: [], 0.90: []}
+    while min(map(len, met.values())) < 150:
+        words = [rng.choice(vocab) for _ in range(rng.randint(60, 500))]
+        other = list(words)
+        for _ in range(rng.randint(1, max(1, len(words) // 40))):
+            other[rng.randrange(len(other))] = "changed" + str(rng.randrange(99999))
+        a, b = (w.shingle_set(" ".join(x)) for x in (words, other))
+        like = len(np.intersect1d(a, b)) / len(np.union1d(a, b))
+        low = max((x for x in met if x <= like), default=None)
+        if low is None or len(met[low]) >= 150:
+            continue
+        count = np.stack([w.votes(a), w.votes(b)])
+        one, two = (set(k.tolist()) for k in w.pair_keys(count))
+        x, y = w.wide_simhash(count).view(np.uint64)
+        bits = np.bitwise_count(x ^ y)
+        met[low].append(bool(one & two) and bits.sum() <= w.MAX_BITS and bits[2:].sum() <= w.MAX_CHECK)
+    print({k: sum(v) / len(v) for k, v in met.items()})
+    assert all(sum(v) >= 0.9 * len(v) for v in met.values())
+
+
+def test_filters_probed_in_their_shards(spark):
+    docs = made()
+    df = frame(spark, docs).select("doc_id", "text")
+    index = line_dedup.LineIndex.build(df, 20, 3, keys_per_shard=2)
+    lost = lambda n: {(r["doc_id"], k["hi"], k["lo"]) for r in index.drops(df, broadcast_bytes=n).collect() for k in r["keys"]}
+    assert index.shards > 1 and lost(0) == lost(1 << 20) != set()
