@@ -4,10 +4,13 @@ How pieces fill sequences depends only on how many pieces have each length, and
 ``capacity`` lengths, so the search runs on the driver over a table whose size no corpus changes.
 It works with patterns (a filling and how often it is used):
 
-* the incumbent is best-fit decreasing,
+* the first incumbent is best-fit decreasing, and every better solution found takes its place,
 * the bound is the total length over the capacity, or the large-item bound where that is stronger,
-* each node takes the largest length left and branches over its undominated fillings, least waste
-  first, pruned when the waste so far exceeds what a better solution may waste.
+* each node takes the largest length left and branches over undominated fillings around it; a branch ends
+  when the waste so far exceeds what a solution better than the incumbent may waste,
+* the filling tried first has the largest pieces among those that waste no more than an allowance, a multiple
+  (``SPENDING``) of the mean waste per sequence that is still allowed: so short pieces are kept for the
+  end. Sums that fillings can reach come from a bounded knapsack over the lengths left.
 
 Spark then hands pieces to patterns: a piece's rank among those of its length (ranked in salted
 groups, with prefix sums over the groups) falls into one pattern's range, which gives sequence and
@@ -28,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise, parts_for, trim_memory
+from plumbago.llm.common import map_frames, materialise, parts_for, trim_memory
 from plumbago.llm.tokens import tokenizer
 
 Pattern = tuple[tuple[int, int], ...]  # (length, times), longest first
@@ -138,10 +141,45 @@ def completions(largest: int, counts: dict[int, int], order: list[int], capacity
     return out
 
 
-def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 3000, branches: int = 2, visits: int = 250) -> tuple[dict[Pattern, int], int]:
+def filling(largest: int, counts: dict[int, int], capacity: int, allowance: int) -> tuple[int, Pattern]:
+    """The filling around one piece of the largest length with the largest pieces among those that waste at most
+    ``allowance``, or that waste least if none does; and its waste."""
+    room = capacity - largest
+    sizes = sorted(s for s in counts if s <= room)
+    mask, sums = (1 << room + 1) - 1, [1]
+    for s in sizes:  # bit t of sums[i]: the first i lengths can make up t
+        reach, n, step = sums[-1], min(counts[s] - (s == largest), room // s), 1
+        while n > 0:
+            step = min(step, n)
+            reach |= reach << step * s & mask
+            n, step = n - step, 2 * step
+        sums.append(reach)
+    high = room
+    low = min(sums[-1].bit_length() - 1, max(0, room - allowance))
+    pattern = {largest: 1}
+    for i in range(len(sizes) - 1, -1, -1):
+        s = sizes[i]
+        for n in range(min(counts[s] - (s == largest), high // s), -1, -1):
+            least = max(0, low - n * s)
+            if sums[i] >> least & (1 << high - n * s - least + 1) - 1:
+                if n:
+                    pattern[s] = pattern.get(s, 0) + n
+                low, high = low - n * s, high - n * s
+                break
+        if low <= 0 and (not i or sizes[0] > high):
+            break
+    return capacity - sum(s * n for s, n in pattern.items()), tuple(sorted(pattern.items(), reverse=True))
+
+
+#: Multiples of the mean waste still allowed that a filling may have; the last is for any waste (largest piece first).
+SPENDING = (4.0, 1.0, 10.0, 0.0, 20.0, 2.0, float("inf"))
+
+
+def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 400, branches: int = 3, visits: int = 250) -> tuple[dict[Pattern, int], int]:
     """Patterns and their uses for a histogram of lengths, and the lower bound.
 
-    ``nodes``, ``branches`` and ``visits`` bound the search only: whatever it leaves, every piece is packed.
+    ``nodes`` (for each of ``SPENDING``, beyond a first descent), ``branches`` and ``visits`` bound the search
+    only: whatever it leaves, every piece is packed.
     """
     counts = {s: n for s, n in counts.items() if n}
     if any(not 0 < s <= capacity for s in counts):
@@ -150,46 +188,59 @@ def pack_histogram(counts: dict[int, int], capacity: int, nodes: int = 3000, bra
         return {}, 0
     best = best_fit_decreasing(counts, capacity)
     bins, bound = sum(best.values()), lower_bound(counts, capacity)
-    total, budget = sum(s * n for s, n in counts.items()), nodes
+    total = sum(s * n for s, n in counts.items())
+
+    def others(left: dict[int, int], wasted: int, tried: Pattern, allowed: int) -> list[tuple[int, Pattern]]:
+        """Undominated fillings around the largest piece besides the one tried."""
+        found = completions(max(left), left, sorted(left, reverse=True), capacity, branches, visits, allowed - wasted)
+        return [x for x in found if x[1] != tried and wasted + x[0] <= allowed][: branches - 1]
 
-    def search() -> tuple[dict[Pattern, int], int] | None:
+    def search(spending: float) -> dict[Pattern, int] | None:
         """Depth first with an explicit stack; the first solution with fewer sequences wins."""
-        nonlocal budget
         allowed = (bins - 1) * capacity - total
-        stack: list[tuple[dict[int, int], int, list[tuple[Pattern, int]]]] = [(dict(counts), 0, [])]
+        budget, descent = nodes, True
+        stack: list[tuple[dict[int, int], int, int, list[tuple[Pattern, int]], Pattern | None]] = [(counts, 0, 0, [], None)]
         while stack and budget > 0:
-            left, wasted, taken = stack.pop()
-            budget -= 1
+            left, wasted, used, taken, tried = stack.pop()
+            descent = descent and tried is None
+            budget -= not descent
             if not left:
                 solution: dict[Pattern, int] = {}
                 for p, n in taken:
                     solution[p] = solution.get(p, 0) + n
-                return solution, sum(solution.values())
-            order = sorted(left, reverse=True)
-            volume = sum(s * n for s, n in left.items())
-            if volume <= capacity:  # the last sequence
-                stack.append(({}, wasted, [*taken, (tuple((s, left[s]) for s in order), 1)]))
+                return solution
+            if sum(s * n for s, n in left.items()) <= capacity:  # the last sequence
+                stack.append(({}, wasted, used + 1, [*taken, (tuple(sorted(left.items(), reverse=True)), 1)], None))
                 continue
-            options = completions(order[0], left, order, capacity, branches, visits, allowed - wasted)
-            for waste, pattern in reversed(options):
+            if tried is None:
+                mean = max(0, allowed - wasted) / max(1, bins - 1 - used)
+                way = filling(max(left), left, capacity, capacity if spending == float("inf") else int(spending * mean))
+                stack.append((left, wasted, used, taken, way[1]))
+                ways = [way] if wasted + way[0] <= allowed else []
+            else:
+                ways = others(left, wasted, tried, allowed)
+            for waste, pattern in reversed(ways):
                 times = min(left[s] // n for s, n in pattern)
                 if waste:
                     times = min(times, (allowed - wasted) // waste)
-                if times < 1:
-                    continue
-                rest = dict(left)
-                for s, n in pattern:
-                    rest[s] -= n * times
-                    if not rest[s]:
-                        del rest[s]
-                stack.append((rest, wasted + waste * times, [*taken, (pattern, times)]))
+                stack.append((_minus(left, pattern, times), wasted + waste * times, used + times, [*taken, (pattern, times)], None))
         return None
 
-    while bins > bound and (better := search()):
-        best, bins = better
+    for spending in SPENDING:
+        while bins > bound and (better := search(spending)):
+            best, bins = better, sum(better.values())
     return best, bound
 
 
+def _minus(left: dict[int, int], pattern: Pattern, times: int) -> dict[int, int]:
+    rest = dict(left)
+    for s, n in pattern:
+        rest[s] -= n * times
+        if not rest[s]:
+            del rest[s]
+    return rest
+
+
 def document_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32): documents with their end id, longer ones cut.
 
@@ -207,11 +258,11 @@ def document_pieces(df: DataFrame, tokenizer_file: str, capacity: int, end_id: i
                     stop = at + (len(ids) - at - 1) % width + 1 if at == 0 else at + width
                     rows.append((doc_id, piece, at >> 2, (stop - at) >> 2, zlib.crc32(ids[at:stop])))
                     at, piece = stop, piece + 1
-            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"]).astype({"doc_id": pdf["doc_id"].dtype})
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
         trim_memory()
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.transform(map_frames, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int, group_rows: int = 50_000, **search: int) -> DataFrame:

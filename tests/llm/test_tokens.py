@@ -126,3 +126,33 @@ def test_bloom_filter():
     bloom = sstable.Bloom(keys)
     assert all(k in bloom for k in keys)
     assert sum(sstable.encode_key(i) in bloom for i in range(10_000, 30_000)) < 600
+
+
+def test_packing_search_improves_on_best_fit():
+    rng = random.Random(7)
+    better = 0
+    for _ in range(6):
+        sizes = Counter(rng.choice((rng.randint(1, 300), rng.randint(200, 1000))) for _ in range(300))
+        best_fit = sum(packing.best_fit_decreasing(dict(sizes), 1024).values())
+        found, bound = packing.pack_histogram(dict(sizes), 1024)
+        used = Counter()
+        for p, n in found.items():
+            assert sum(s * k for s, k in p) <= 1024
+            for s, k in p:
+                used[s] += k * n
+        assert used == sizes and bound <= sum(found.values()) <= best_fit
+        better += sum(found.values()) < best_fit
+    assert better >= 1
+
+
+def test_filling_wastes_no_more_than_allowed():
+    rng = random.Random(8)
+    for _ in range(200):
+        counts = Counter(rng.randint(1, 60) for _ in range(rng.randint(1, 12)))
+        largest, allowance = max(counts), rng.randint(0, 20)
+        waste, pattern = packing.filling(largest, counts, 100, allowance)
+        reach = {0}
+        for s, n in (counts - Counter([largest])).items():
+            reach = {t + k * s for t in reach for k in range(n + 1) if t + k * s <= 100 - largest}
+        assert all(counts[s] >= n for s, n in pattern) and dict(pattern)[largest] >= 1 and 100 - sum(s * n for s, n in pattern) == waste
+        assert waste <= max(allowance, 100 - largest - max(reach))
