@@ -1,11 +1,12 @@
 """Benchmark decontamination: BM25 over an inverted index of test items, searched by block-max WAND.
 
-Test items are a stated query set; they are indexed in blocks of bounded size, and each block meets
-all documents. Statistics and the width of passages are those of the whole set, so that no score depends
-on the blocks. Every document is cut into overlapping passages (each item fits into one whole), and
-every passage is a query. Items are sorted by length into small blocks, and each word knows its
-largest contribution in each block. A passage skips the blocks whose maxima can't reach the
-threshold together; in the others WAND walks the posting lists with the block's maxima as bounds.
+Test items are a stated query set; they are indexed in parts of bounded size (all items in one pass up to
+that size), and each part meets all documents. Statistics and the width of passages are those of the whole
+set, so that no score depends on the parts. Every document is cut into overlapping passages (each item fits
+into one whole), and every passage is a query. Items are sorted by length into small blocks; each posting
+list knows its largest contribution, and that of each block it has postings in. Lists that can't reach the
+threshold together open no block. Of the blocks that the others name, those whose maxima can't reach it with
+the rest are skipped; in what is left WAND walks the posting lists with the block's maxima as bounds.
 An item's score is its BM25 sum divided by the score the item itself reaches, so that one threshold
 holds for items of any length, and every item above it is returned.
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise
+from plumbago.llm.common import map_frames, materialise
 
 K1, B = 1.2, 0.75
 SHINGLE = 5
@@ -70,54 +71,88 @@ class Statistics:
 
 
 class ItemIndex:
-    """Inverted index of one block of items, with block-max bounds. Without statistics the block is the whole set."""
+    """Inverted index of a part of the items, with block-max bounds. Without statistics the part is the whole set.
+
+    Postings are flat arrays, list after list; so are the maxima of the blocks each list has postings in.
+    """
 
     def __init__(self, items: list[tuple[int, str]], block: int = 4, whole: Statistics | None = None) -> None:
-        self.ids, self.parts, lists = [], [], []
-        for item, text in sorted(items, key=lambda x: len(words_of(x[1]))):  # like lengths share a block, so its maxima are tight
-            words = words_of(text)
-            if not words:
-                continue
-            sentences = _SENTENCE.split(text.strip())
-            question, answer = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, "")
-            self.ids.append(item)
-            self.parts.append(tuple(shingles(x) for x in (words, words_of(question), words_of(answer))))
-            lists.append(words)
+        known = [(item, text, words) for item, text in items if (words := words_of(text))]
+        known.sort(key=lambda x: len(x[2]))  # like lengths share a block, so its maxima are tight
+        self.ids, self.texts = [x[0] for x in known], [x[1] for x in known]
+        lists = [x[2] for x in known]
         seen = Counter(w for own in lists for w in set(own))
         whole = whole or Statistics(len(lists), sum(map(len, lists)), max(map(len, lists), default=0), seen)
         n, mean = whole.items, whole.words / max(1, whole.items)
         self.terms = {w: i for i, w in enumerate(seen)}
         idf = {w: float(np.log1p((n - k + 0.5) / (k + 0.5))) for w, k in ((w, whole.seen[w]) for w in seen)}
-        gained: list[list[tuple[int, float]]] = [[] for _ in self.terms]
+        term, item, gain = [], [], []
         for i, own in enumerate(lists):
-            gain = {w: idf[w] * k * (K1 + 1) / (k + K1 * (1 - B + B * len(own) / mean)) for w, k in Counter(own).items()}
-            most = sum(gain.values()) or 1.0
-            for w, g in gain.items():
-                gained[self.terms[w]].append((i, g / most))
-        self.items = [[i for i, _ in p] for p in gained]
-        self.gains = [[g for _, g in p] for p in gained]
+            gains = {w: idf[w] * k * (K1 + 1) / (k + K1 * (1 - B + B * len(own) / mean)) for w, k in Counter(own).items()}
+            most = sum(gains.values()) or 1.0
+            term += [self.terms[w] for w in gains]
+            item += [i] * len(gains)
+            gain += [g / most for g in gains.values()]
+        term, item, gain = np.array(term, dtype=np.int64), np.array(item, dtype=np.int32), np.array(gain, dtype=np.float64)
+        order = np.argsort(term, kind="stable")  # items ascend within a list
+        term, self.items, self.gains = term[order], item[order], gain[order]
+        self.starts = np.searchsorted(term, np.arange(len(self.terms) + 2))  # one list more, empty: words outside the index
         self.block = block
-        self.bounds = np.zeros((len(self.terms) + 1, -(-len(lists) // block)), dtype=np.float32)  # the last row is for words outside the index
-        for t, postings in enumerate(gained):
-            for i, g in postings:
-                self.bounds[t, i // block] = max(self.bounds[t, i // block], g)
-        self.bounds *= 1 + 1e-6  # single precision never rounds a bound below its gains
+        place = self.items // block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (place[1:] != place[:-1])]) if len(term) else np.empty(0, np.int64)
+        self.blocks = place[first]
+        self.bounds = (np.maximum.reduceat(self.gains, first) if len(first) else self.gains) * (1 + 1e-9)
+        self.block_starts = np.searchsorted(term[first], np.arange(len(self.terms) + 2))
+        self.tops = np.zeros(len(self.terms) + 1)
+        np.maximum.at(self.tops, term[first], self.bounds)
         self.longest = whole.longest
+        self.parts: dict[int, tuple] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"parts": {}}
+
+    def postings(self, term: int) -> list[tuple[int, float]]:
+        """The list of a term: items and what it gives to each."""
+        a, b = self.starts[term], self.starts[term + 1]
+        return list(zip(self.items[a:b].tolist(), self.gains[a:b].tolist()))
+
+    def shingles_of(self, i: int) -> tuple[list, list, list]:
+        """Shingles of an item, its question and its answer; made when first asked for, for a bounded number of items."""
+        if i not in self.parts:
+            if len(self.parts) >= 4096:
+                self.parts.clear()
+            text = self.texts[i]
+            sentences = _SENTENCE.split(text.strip())
+            question, answer = (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, "")
+            self.parts[i] = tuple(shingles(words_of(x)) for x in (text, question, answer))
+        return self.parts[i]
 
     def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
         """All items whose score over the given distinct terms is at least ``least``."""
-        reach = self.bounds[terms].sum(axis=0)
-        return [hit for k in np.flatnonzero(reach >= least) for hit in self._wand(terms, int(k), least)]
+        tops = self.tops[terms]
+        if tops.sum() < least:
+            return []
+        order = np.argsort(tops)
+        below = np.cumsum(tops[order])
+        idle = int(np.searchsorted(below, least * (1 - 1e-9)))  # these lists can't reach the threshold together
+        rest, busy = below[idle - 1] if idle else 0.0, terms[order[idle:]]
+        start, size = self.block_starts[busy], self.block_starts[busy + 1] - self.block_starts[busy]
+        at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
+        named, place = np.unique(self.blocks[at], return_inverse=True)
+        reach = np.bincount(place, self.bounds[at], len(named)) + rest
+        return [hit for k in named[reach >= least * (1 - 1e-9)].tolist() for hit in self._wand(terms, k, least)]
 
     def _wand(self, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
         """WAND over the postings of one block of items, with the block's maxima as bounds."""
-        bounds = self.bounds[terms, block]
-        start, end = block * self.block, (block + 1) * self.block
-        cursors = []  # item, bound, items of the list, gains, position
-        for t, most in zip(terms[bounds > 0].tolist(), bounds[bounds > 0].tolist()):
-            own = self.items[t]
-            at = bisect_left(own, start)
-            cursors.append([own[at], most, own, self.gains[t], at])
+        end = (block + 1) * self.block
+        cursors = []  # item, bound, position, end of the list
+        for t in terms.tolist():
+            low, high = int(self.block_starts[t]), int(self.block_starts[t + 1])
+            k = bisect_left(self.blocks, block, low, high)
+            if k < high and self.blocks[k] == block:
+                stop = int(self.starts[t + 1])
+                at = bisect_left(self.items, block * self.block, int(self.starts[t]), stop)
+                cursors.append([int(self.items[at]), float(self.bounds[k]), at, stop])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0])
@@ -134,15 +169,15 @@ class ItemIndex:
                 score, moved = 0.0, []
                 for c in cursors:
                     if c[0] == at:
-                        score += c[3][c[4]]
-                        moved.append((c, c[4] + 1))
+                        score += float(self.gains[c[2]])
+                        moved.append((c, c[2] + 1))
                 if score >= least:
                     found.append((at, score))
             else:  # skip the items that the lists before the pivot can't bring to the threshold
-                moved = [(c, bisect_left(c[2], at, c[4])) for c in cursors[:pivot] if c[0] < at]
+                moved = [(c, bisect_left(self.items, at, c[2], c[3])) for c in cursors[:pivot] if c[0] < at]
             for c, place in moved:
-                c[4] = place
-                c[0] = c[2][place] if place < len(c[2]) else end
+                c[2] = place
+                c[0] = int(self.items[place]) if place < c[3] else end
             cursors = [c for c in cursors if c[0] < end]
         return found
 
@@ -170,13 +205,13 @@ class ItemIndex:
             near = words[max(0, a - width // 2) : a + width + width // 2]
             there = set(shingles(near))
             for i, score in hits:
-                whole, question, answer = (share_found(p, near, there) for p in self.parts[i])
+                whole, question, answer = (share_found(p, near, there) for p in self.shingles_of(i))
                 if (whole >= overlap or question >= overlap and answer >= overlap) and (i not in best or (score, whole) > best[i][:2]):
                     best[i] = (score, whole, question, answer)
         return [(self.ids[i], *found) for i, found in sorted(best.items())]
 
 
-def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+def item_parts(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
     """Items in blocks of bounded size, streamed to the driver partition by partition."""
     held, size = [], 0
     for r in items.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null").orderBy("i", "t").toLocalIterator():
@@ -191,7 +226,7 @@ def item_blocks(items: DataFrame, id_col: str, text_col: str, block_bytes: int)
 
 def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> Iterator[ItemIndex]:
     """An index for each block. Beyond one block, Spark counts words over all items, and a block gets those it holds."""
-    blocks = item_blocks(items, id_col, text_col, block_bytes)
+    blocks = item_parts(items, id_col, text_col, block_bytes)
     first = list(islice(blocks, 2))
     if len(first) < 2:
         yield from map(ItemIndex, first)
@@ -204,7 +239,7 @@ def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
             yield pd.DataFrame({"word": [None, *seen], "items": [len(lists), *seen.values()], "words": sum(map(len, lists)), "longest": max(map(len, lists), default=0)})
 
     texts = items.select(F.col(text_col).alias("t")).where("t is not null")
-    sums = texts.mapInPandas(counted, "word binary, items long, words long, longest long").groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
+    sums = texts.transform(map_frames, counted, "word binary, items long, words long, longest long").groupBy("word").agg(F.sum("items").alias("items"), F.sum("words").alias("words"), F.max("longest").alias("longest"))
     sums = materialise(sums, "item-words")  # the row without a word is for all items
     total = sums.where("word is null").first()
     for block in chain(first, blocks):
@@ -215,16 +250,18 @@ def indexes(items: DataFrame, id_col: str, text_col: str, block_bytes: int) -> I
 
 def find_leaks(
     df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-    least: float = 0.6, overlap: float = 0.8, block_bytes: int = 1 << 20,
+    least: float = 0.6, overlap: float = 0.8, block_bytes: int = 16 << 20, columns: tuple[str, ...] = (),
 ) -> DataFrame:
-    """Rows (doc_id, item_id, score, item_share, question_share, answer_share) of every verified match.
+    """Rows (doc_id, *columns, item_id, score, item_share, question_share, answer_share) of every verified match.
 
     ``least`` is the share of its own BM25 score an item must reach in a passage. One pass over the
-    documents for each ``block_bytes`` of items; only a block, whose size is bounded, is broadcast.
+    documents for each ``block_bytes`` of items; only such a part, whose size is bounded, is broadcast.
+    ``columns`` (integers) go along.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_id long, item_id long, score double, item_share double, question_share double, answer_share double"
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), *[F.col(c).cast("long") for c in columns], F.col(text_col).alias("text"))
+    own = ["doc_id", *columns]
+    schema = ", ".join(f"{c} long" for c in own) + ", item_id long, score double, item_share double, question_share double, answer_share double"
     out = None
     for index in indexes(items, item_col, item_text, block_bytes):
         sent = spark.sparkContext.broadcast(index)
@@ -232,9 +269,9 @@ def find_leaks(
         def run(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
             index = sent.value
             for pdf in batches:
-                rows = [(i, *m) for i, t in zip(pdf["doc_id"], pdf["text"]) for m in index.matches(t, least, overlap)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "score", "item_share", "question_share", "answer_share"]).astype({"doc_id": pdf["doc_id"].dtype if rows else "float64"})
+                rows = [(*key, *m) for *key, t in zip(*(pdf[c] for c in own), pdf["text"]) for m in index.matches(t, least, overlap)]
+                yield pd.DataFrame(rows, columns=[*own, "item_id", "score", "item_share", "question_share", "answer_share"], dtype=object)
 
-        found = docs.mapInPandas(run, schema)
+        found = docs.transform(map_frames, run, schema)
         out = found if out is None else out.union(found)
     return out if out is not None else spark.createDataFrame([], schema)

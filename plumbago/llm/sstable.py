@@ -24,6 +24,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import fresh_dir, materialise, parts_for, text_volume
+from plumbago.llm.common import fresh_dir, map_frames, materialise, parts_for, text_volume
 from plumbago.llm.files import FolderWriter, open_file
 from plumbago.llm.tokens import tokenizer
 
@@ -181,7 +182,7 @@ class ShardReader:
 
 def write_shards(
     df: DataFrame, tokenizer_file: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text",
-    shard_bytes: int = 12 << 20, block_bytes: int = 64 << 10,
+    shard_bytes: int = 64 << 20, block_bytes: int = 64 << 10,
 ) -> tuple[str, DataFrame]:
     """Encode all texts into shards; returns their folder and the manifest."""
     spark = df.sparkSession
@@ -202,8 +203,10 @@ def write_shards(
             writer.close()
             yield pd.DataFrame({"file": [name], "first_key": [first], "last_key": [writer.last], "docs": [writer.docs], "tokens": [writer.tokens]})
 
-    dealt = docs.repartitionByRange(parts_for(size + 64 * n, shard_bytes), "doc_id").sortWithinPartitions("doc_id", "text")
-    return folder, materialise(dealt.mapInPandas(run, MANIFEST), "token-manifest")
+    # a small table still gives every core a shard
+    shards = max(parts_for(size + 64 * n, shard_bytes), min(spark.sparkContext.defaultParallelism, parts_for(size, shard_bytes >> 5)))
+    dealt = docs.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
+    return folder, materialise(dealt.transform(map_frames, run, MANIFEST), "token-manifest")
 
 
 def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, with_ids: bool = False) -> DataFrame:
@@ -222,20 +225,32 @@ def read_shards(spark: SparkSession, folder: str, manifest: DataFrame, with_ids:
                             rows.append((decode_key(key), at, len(ids), zlib.crc32(wide.tobytes()), *([wide.tolist()] if with_ids else [])))
                             at += len(ids)
                         if len(rows) >= 2000 or i == len(shard.place) - 1:
-                            out = pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4])
-                            yield out.astype({"doc_id": "Int64"})
+                            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: 5 if with_ids else 4], dtype=object)
                             rows = []
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return files.repartition(max(1, files.count())).mapInPandas(run, schema)
+    return files.repartition(max(1, files.count())).transform(map_frames, run, schema)
 
 
-def lookup(folder: str, manifest_rows: list, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of one document, through key ranges, filter and block index."""
-    key = encode_key(doc_id)
-    found: list[np.ndarray] = []
-    for r in manifest_rows:
-        if bytes(r["first_key"]) <= key <= bytes(r["last_key"]):
-            with open_file(folder, r["file"]) as source:
+class ShardSet:
+    """Lookups over a manifest that is held sorted (a row for a shard)."""
+
+    def __init__(self, folder: str, manifest_rows: list) -> None:
+        self.folder = folder
+        self.rows = sorted(manifest_rows, key=lambda r: bytes(r["first_key"]))
+        self.last = [bytes(r["last_key"]) for r in self.rows]  # ascending too, as shards are dealt by ranges
+
+    def get(self, doc_id: int | None) -> list[np.ndarray]:
+        """The ids of one document: binary search over the shards, then filter, block index and a range read."""
+        key, found = encode_key(doc_id), []
+        for r in islice(self.rows, bisect_left(self.last, key), None):
+            if bytes(r["first_key"]) > key:
+                break
+            with open_file(self.folder, r["file"]) as source:
                 found += ShardReader(source).get(key)
-    return found
+        return found
+
+
+def lookup(folder: str, manifest_rows: list, doc_id: int | None) -> list[np.ndarray]:
+    """The ids of one document; for several, hold a ``ShardSet``."""
+    return ShardSet(folder, manifest_rows).get(doc_id)

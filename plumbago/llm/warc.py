@@ -29,14 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import fresh_dir, materialise, parts_for
+from plumbago.llm.common import fresh_dir, map_frames, materialise, parts_for
 from plumbago.llm.files import FolderWriter, open_file
 
 #: Fixed values of the format: the profile of revisits and the end of a record.
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = b"\r\n\r\n"
 CAPTURES = "key string, page_id long, file string, offset long, length long"
-DIRECTORY = "first_key string, first_page long, file string, offset long, length long, lines long"
+DIRECTORY = "first_key string, first_page long, file string, offset long, length long, lines long, record_bytes long"
 
 
 def url_key(url: str) -> str:
@@ -109,7 +109,9 @@ def write_archives(
     kept = pages.where("digest is not null").groupBy("digest").agg(F.max("page_id").alias("kept"), F.count(F.lit(1)).alias("n"))
     kept = materialise(kept.where("n > 1 and kept is not null").select("digest", "kept"), "payloads")  # written first: the join below can then split hot payloads
     revisit = F.col("kept").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("kept"))
-    typed = pages.join(kept, "digest", "left").select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"))
+    # small pages, which have no digest, are dealt by a key of their own that finds nothing
+    place = F.coalesce("digest", F.concat(F.lit("small "), F.xxhash64("page_id", "url", "html").cast("string")))
+    typed = pages.withColumn("place", place).join(kept.withColumnRenamed("digest", "place"), "place", "left").select("page_id", "url", "html", F.when(revisit, F.col("kept")).alias("refers_to"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         writer, name, out, at = None, None, None, 0
@@ -126,11 +128,11 @@ def write_archives(
                 out.write(member)
                 rows.append((url_key(url) if url else record_name(page_id), page_id, name, at, len(member)))
                 at += len(member)
-            yield pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length"]).astype({"page_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["key", "page_id", "file", "offset", "length"], dtype=object)
         if out is not None:
             out.close()
 
-    return folder, materialise(typed.mapInPandas(run, CAPTURES), "captures")
+    return folder, materialise(typed.transform(map_frames, run, CAPTURES), "captures")
 
 
 def build_index(folder: str, captures: DataFrame, block_lines: int = 3000, shard_rows: int = 300_000) -> DataFrame:
@@ -147,7 +149,7 @@ def build_index(folder: str, captures: DataFrame, block_lines: int = 3000, shard
                 name, out = FolderWriter(folder).create(".cdx.gz")
             member = gzip.compress("\n".join(" ".join(map(str, x)) for x in held).encode(), compresslevel=6, mtime=0)
             out.write(member)
-            rows.append((held[0][0], held[0][1], name, at, len(member), len(held)))
+            rows.append((held[0][0], None if held[0][1] == "-" else held[0][1], name, at, len(member), len(held), sum(x[4] for x in held)))
             at += len(member)
             held.clear()
 
@@ -160,11 +162,10 @@ def build_index(folder: str, captures: DataFrame, block_lines: int = 3000, shard
             flush()
         if out is not None:
             out.close()
-            frame = pd.DataFrame(rows, columns=["first_key", "first_page", "file", "offset", "length", "lines"])
-            yield frame.assign(first_page=pd.to_numeric(frame["first_page"], errors="coerce").astype("Int64"))
+            yield pd.DataFrame(rows, columns=["first_key", "first_page", "file", "offset", "length", "lines", "record_bytes"], dtype=object)
 
     dealt = captures.repartitionByRange(shards, "key", "page_id").sortWithinPartitions("key", "page_id")
-    return materialise(dealt.mapInPandas(run, DIRECTORY), "directory")
+    return materialise(dealt.transform(map_frames, run, DIRECTORY), "directory")
 
 
 def read_block(folder: str, file: str, offset: int, length: int) -> list[tuple[str, int | None, str, int, int]]:
@@ -178,7 +179,7 @@ def read_block(folder: str, file: str, offset: int, length: int) -> list[tuple[s
     return out
 
 
-def read_archives(folder: str, directory: DataFrame, with_payload: bool = False) -> DataFrame:
+def read_archives(folder: str, directory: DataFrame, with_payload: bool = False, part_bytes: int = 16 << 20) -> DataFrame:
     """All records, by way of the index: blocks from the directory, then record ranges in file order."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,15 +208,15 @@ def read_archives(folder: str, directory: DataFrame, with_payload: bool = False)
                 )
                 rows.append((*row, payload.decode("utf-8")) if with_payload else row)
             names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-            yield pd.DataFrame(rows, columns=names[: 7 if with_payload else 6]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield pd.DataFrame(rows, columns=names[: 7 if with_payload else 6], dtype=object)
         if source is not None:
             source.close()
 
-    n = directory.count()
-    found = directory.select("file", "offset", "length").repartition(max(1, n)).mapInPandas(blocks, "file string, offset long, length long")
-    placed = found.repartition("file").sortWithinPartitions("file", "offset")
+    n, size = directory.agg(F.count(F.lit(1)), F.sum("record_bytes")).first()
+    found = directory.select("file", "offset", "length").repartition(max(1, n)).transform(map_frames, blocks, "file string, offset long, length long")
+    placed = found.repartitionByRange(parts_for(size or 0, part_bytes), "file", "offset").sortWithinPartitions("file", "offset")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + ", payload string" * with_payload
-    return placed.mapInPandas(records, schema)
+    return placed.transform(map_frames, records, schema)
 
 
 class CaptureIndex:

@@ -172,7 +172,7 @@ def test_wand_returns_all_above_threshold():
         own = np.array(sorted({index.terms[w.encode()] for w in rng.sample(vocab, rng.randint(1, 25)) if w.encode() in index.terms}), dtype=np.int64)
         want = {}
         for t in own:
-            for i, g in zip(index.items[t], index.gains[t]):
+            for i, g in index.postings(t):
                 want[int(i)] = want.get(int(i), 0) + g
         for least in (0.05, 0.3, 0.5):
             got = dict(index.search(own, least))
