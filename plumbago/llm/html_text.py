@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbago.llm.common import map_frames
+
 #: Element names by their part in a page.
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video head select option datalist textarea button title".split())
 BOILERPLATE = frozenset("nav header footer aside form menu dialog fieldset".split())
@@ -256,4 +258,4 @@ def extract_text(df: DataFrame, id_col: str = "page_id", html_col: str = "html",
             texts = [main_text(h) for h in pdf["html"]]
             yield pdf[kept].assign(text=texts, n_chars=[len(t) for t in texts])
 
-    return pages.mapInPandas(run, schema)
+    return pages.transform(map_frames, run, schema)

@@ -8,6 +8,9 @@ Training takes a bounded, documented sample of labelled rows (``sample_rows``, l
 hashes first, whole texts): chains of up to 64 words, part of them joined from two documents, so
 that transitions between languages are seen. Prediction reads whole texts, in chains of 64 words.
 
+Words of more than 24 letters are read in parts of 24, each a word of the chain, so that scripts without
+spaces are read whole.
+
 Defined cases: a null text or one without a letter is ``und`` with score 0, and so is every text
 where no labelled row exists; ties go to the language first in alphabetical order; repeated rows
 are predicted alike; extra columns are ignored.
@@ -18,19 +21,20 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import hold_cache, trim_memory
+from plumbago.llm.common import BATCH_ROWS, hold_cache, map_frames, trim_memory
 
 CHAIN = 64
 #: Size of the hashed feature space; one more row holds zero weights for absent features.
 HASHED = 1 << 16
 WIDTH = 24
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"[^\W\d_]{1,%d}" % WIDTH)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
 #: Share of a word's training uses in one language from which the lexicon calls it sure or likely.
 SURE, LIKELY = 0.9, 0.5
@@ -42,18 +46,17 @@ def held_out(id_col: Column) -> Column:
 
 
 def text_words(text: str | None) -> list[str]:
-    """Lower-case letter words of a whole text."""
+    """Lower-case letter words of a whole text; longer ones in parts."""
     return _WORD.findall(text.lower()) if text else []
 
 
 def _shape(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of each word between boundary marks, and the lengths with marks."""
-    cut = [w if len(w) <= WIDTH else w[: WIDTH - 4] + w[-4:] for w in words]
-    size = np.array([len(w) for w in cut], dtype=np.int64) + 2
-    flat = np.zeros((len(cut), WIDTH + 2), dtype=np.uint32)
-    flat[:, 1:-1] = np.array(cut, dtype=f"<U{WIDTH}").view(np.uint32).reshape(len(cut), WIDTH)
+    size = np.array([len(w) for w in words], dtype=np.int64) + 2
+    flat = np.zeros((len(words), WIDTH + 2), dtype=np.uint32)
+    flat[:, 1:-1] = np.array(words, dtype=f"<U{WIDTH}").view(np.uint32).reshape(len(words), WIDTH)
     flat[:, 0] = 1
-    flat[np.arange(len(cut)), size - 1] = 2
+    flat[np.arange(len(words)), size - 1] = 2
     return flat, size
 
 
@@ -156,17 +159,25 @@ class LanguageCRF:
         joint = forward * back
         return (joint / np.maximum(joint.sum(axis=2, keepdims=True), 1e-300))[inside]
 
-    def label(self, texts: list[str | None], sub: int = 150_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
-        """For each text its number, words and their posteriors; whole texts, in runs of about ``sub`` words."""
+    def label(self, texts: list[str | None], sub: int = 75_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
+        """Words of the texts and their posteriors, with the number of the text.
+
+        Whole texts, in runs of about ``sub`` words; a longer text comes in several parts, cut between chains.
+        """
+        sub = -(-sub // CHAIN) * CHAIN
         held: list[tuple[int, list[str]]] = []
         total = 0
         for i, text in enumerate(texts):
-            words = text_words(text)
-            held.append((i, words))
-            total += len(words)
-            if total >= sub:
-                yield from self._label(held)
-                held, total = [], 0
+            found = (m[0] for m in _WORD.finditer(text.lower())) if text else iter(())
+            while True:
+                words = list(islice(found, sub))
+                held.append((i, words))
+                total += len(words)
+                if total >= sub:
+                    yield from self._label(held)
+                    held, total = [], 0
+                if len(words) < sub:
+                    break
         yield from self._label(held)
 
     def _label(self, held: list[tuple[int, list[str]]]) -> Iterator[tuple[int, list[str], np.ndarray]]:
@@ -186,13 +197,16 @@ class LanguageCRF:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
+        mass, words_of = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts), dtype=np.int64)
         for i, words, post in self.label(texts):
-            letters = None if "".join(words).isalpha() else np.array([any(map(str.isalpha, w)) for w in words], dtype=bool)
-            post = post if letters is None else post[letters]
-            if len(post):
-                share = post.mean(axis=0)
-                k = int(share.argmax())
-                names[i], scores[i] = self.languages[k], float(min(1.0, share[k]))
+            if not "".join(words).isalpha():
+                post = post[np.array([any(map(str.isalpha, w)) for w in words], dtype=bool)]
+            mass[i] += post.sum(axis=0)
+            words_of[i] += len(post)
+        for i in np.flatnonzero(words_of):
+            share = mass[i] / words_of[i]
+            k = int(share.argmax())
+            names[i], scores[i] = self.languages[k], float(min(1.0, share[k]))
         return names, scores
 
 
@@ -267,33 +281,48 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     return model
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500) -> LanguageCRF | None:
-    """Train on up to ``sample_rows`` labelled rows outside the held-out part; None if there are none."""
+def fit(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", sample_rows: int = 1500, sample_chars: int = 100_000,
+) -> LanguageCRF | None:
+    """Train on up to ``sample_rows`` labelled rows outside the held-out part; None if there are none.
+
+    Rows go by a hash of identifier and text, least first. Texts of more than ``sample_chars`` code points
+    train only where the sample has room left, so that the driver holds no more than both bounds say while
+    there are enough others.
+    """
     rows = df.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out(F.col(id_col)))
-    place = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1 << 40))
-    labelled = rows.select(id_col).count()
-    # only about twice the bound passes the threshold, so no task sends the driver more than its share
-    below = rows.where(place < min(1 << 40, (1 << 40) * 2 * sample_rows // max(1, labelled)))
-    sample = below.select(place.alias("h"), F.col(text_col).alias("text"), F.col(label_col).alias("label")).orderBy("h", "text").limit(sample_rows).collect()
+    long = F.char_length(F.col(text_col)) > sample_chars
+    rows = rows.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), long.alias("long"), F.col(text_col).alias("text"), F.col(label_col).alias("label"))
+    labelled = rows.count()
+    share = 2 * sample_rows / max(1, labelled)
+    while True:
+        # only about twice the bound passes the threshold, so no task sends the driver more than its share
+        low = rows if share >= 1 else rows.where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+        sample = low.orderBy("long", "h", "text").limit(sample_rows).select("text", "label").collect()
+        if share >= 1 or len(sample) >= sample_rows:
+            break
+        share *= 8  # hashes of many equal rows can leave too few below
     return train([r["text"] for r in sample], [r["label"] for r in sample]) if sample else None
 
 
-def identify(df: DataFrame, model: LanguageCRF | None, id_col: str = "doc_id", text_col: str = "text", columns: tuple[str, ...] = ()) -> DataFrame:
-    """Rows (id, *columns, lang_pred, score) of every whole text."""
-    names = [id_col, *columns]
-    picked = df.select(*names, *([] if text_col in names else [text_col]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields if f.name in names) + ", lang_pred string, score double"
+def identify(df: DataFrame, model: LanguageCRF | None, text_col: str = "text") -> DataFrame:
+    """All columns of every row, and lang_pred and score of its whole text. Only the text goes to Python."""
     sent = df.sparkSession.sparkContext.broadcast(model)  # a fixed feature space and a bounded lexicon
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         own = sent.value
-        for pdf in batches:
-            texts = pdf[text_col].tolist()
-            lang, score = own.predict(texts) if own else (["und"] * len(texts), [0.0] * len(texts))
-            yield pdf[names].assign(lang_pred=lang, score=score)
+        for texts in batches:
+            names, scores = ["und"] * len(texts), [0.0] * len(texts)
+            for a in range(0, len(texts) if own else 0, BATCH_ROWS):
+                names[a : a + BATCH_ROWS], scores[a : a + BATCH_ROWS] = own.predict(texts.iloc[a : a + BATCH_ROWS].tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
         trim_memory()
 
-    return picked.mapInPandas(run, schema)
+    # a column of the input with such a name gives way to the prediction
+    kept = [c for c in df.columns if c not in ("lang_pred", "score")]
+    answer = told(F.col(text_col))  # one call for both fields
+    return df.select(*kept, answer["lang_pred"].alias("lang_pred"), answer["score"].alias("score"))
 
 
 def label_words(df: DataFrame, model: LanguageCRF, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,11 +332,11 @@ def label_words(df: DataFrame, model: LanguageCRF, id_col: str = "doc_id", text_
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = sent.value
         for pdf in batches:
-            rows = []
+            labels: list[list[dict]] = [[] for _ in range(len(pdf))]
             for i, words, post in own.label(pdf["text"].tolist()):
                 best = post.argmax(axis=1) if len(post) else []
-                rows.append((pdf["doc_id"].iloc[i], [{"word": w, "lang": own.languages[k], "p": float(p[k])} for w, k, p in zip(words, best, post)]))
-            yield pd.DataFrame(rows, columns=["doc_id", "labels"])
+                labels[i] += [{"word": w, "lang": own.languages[k], "p": float(p[k])} for w, k, p in zip(words, best, post)]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "labels": labels})
 
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return docs.mapInPandas(run, "doc_id long, labels array<struct<word:string,lang:string,p:double>>")
+    return docs.transform(map_frames, run, "doc_id long, labels array<struct<word:string,lang:string,p:double>>")

@@ -4,7 +4,8 @@ The exact table holds one row per line key and document; its grouped counts (com
 say which keys are frequent and who keeps them. One cuckoo filter per shard of the key space
 summarises the frequent keys. A document pass probes the filters and sends only lines that may be
 frequent to the exact join, so almost no line is shuffled twice. Filters are broadcast when their
-measured size is within a bound; beyond it every line key goes to the exact join instead.
+measured size is within a bound; beyond it every line key is sent to the shard of its filter and probed
+there. Both ways give the exact join the same keys.
 Deleting documents removes their rows and takes keys that fall below the limit out of the filters.
 
 Defined cases: null and empty texts are one empty line; blank and short lines are never dropped;
@@ -20,10 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise, parts_for, trim_memory
+from plumbago.llm.common import group_frames, map_frames, materialise, parts_for, trim_memory
 
 _SPACE = b" \t\n\x0b\x0c\r"
 
@@ -96,13 +97,28 @@ class CuckooFilter:
                 return True
         return False
 
+    def fill(self, keys: np.ndarray) -> bool:
+        """Insert many keys into an empty filter: whole rounds into the first and the second bucket, kicks for the rest."""
+        for second in (False, True):
+            f, a, b = self.places(keys)
+            at = b if second else a
+            order = np.argsort(at, kind="stable")
+            at, f, keys = at[order], f[order], keys[order]
+            first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+            rank = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+            slot = (self.table[at] != 0).sum(axis=1) + rank
+            fits = slot < self.SLOTS
+            self.table[at[fits], slot[fits]] = f[fits]
+            keys = keys[~fits]
+        return all(self.insert(int(k)) for k in keys)
+
     @classmethod
     def of(cls, keys: np.ndarray) -> CuckooFilter:
         """A filter that holds all ``keys``, grown until they fit."""
         capacity = max(8, len(keys))
         while True:
             out = cls(capacity)
-            if all(out.insert(int(k)) for k in keys):
+            if out.fill(keys):
                 return out
             capacity *= 2
 
@@ -131,7 +147,7 @@ def postings(docs: DataFrame, least: int) -> DataFrame:
             pair = np.frombuffer(b"".join(keys), dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"hi": pair[:, 0], "lo": pair[:, 1], "doc_id": pd.array(ids, dtype="Int64")})
 
-    return docs.mapInPandas(run, "hi long, lo long, doc_id long")
+    return docs.transform(map_frames, run, "hi long, lo long, doc_id long")
 
 
 def frequent(posted: DataFrame, least_docs: int) -> DataFrame:
@@ -143,6 +159,10 @@ def frequent(posted: DataFrame, least_docs: int) -> DataFrame:
     return once.groupBy("hi", "lo").agg(F.count("one").alias("docs"), F.max("doc_id").alias("keeper")).where(F.col("docs") >= least_docs)
 
 
+def shard_of(shards: int) -> Column:
+    return F.expr(f"cast(floor((shiftrightunsigned(hi, 32) * {shards}L) / 4294967296) as long)")
+
+
 def build_filters(hot: DataFrame, shards: int) -> DataFrame:
     """Rows (shard, filter): a cuckoo filter for each shard of the key space. Each key occurs once in ``hot``."""
 
@@ -150,8 +170,7 @@ def build_filters(hot: DataFrame, shards: int) -> DataFrame:
         held = CuckooFilter.of(pdf["lo"].to_numpy(dtype=np.int64).view(np.uint64))
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "filter": [held.dump()]})
 
-    shard = F.expr(f"cast(floor((shiftrightunsigned(hi, 32) * {shards}L) / 4294967296) as long)")
-    return hot.select("lo", shard.alias("shard")).groupBy("shard").applyInPandas(run, "shard long, filter binary")
+    return group_frames(hot.select("lo", shard_of(shards).alias("shard")).groupBy("shard"), run, "shard long, filter binary")
 
 
 @dataclass
@@ -179,17 +198,17 @@ class LineIndex:
         hot = materialise(frequent(posted, self.least_docs), "line-keys")
         came = hot.join(self.hot, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(True).alias("came"))
         gone = self.hot.join(hot, ["hi", "lo"], "left_anti").select("hi", "lo", F.lit(False).alias("came"))
-        shard = F.expr(f"cast(floor((shiftrightunsigned(hi, 32) * {self.shards}L) / 4294967296) as long)")
-        changes = came.union(gone).select("lo", "came", shard.alias("shard"))
+        changes = came.union(gone).select("lo", "came", shard_of(self.shards).alias("shard"))
 
-        def run(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        def run(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             held = CuckooFilter.load(old["filter"].iloc[0]) if len(old) else CuckooFilter(len(new))
             for lo in new.loc[~new["came"], "lo"]:
                 held.delete(int(lo) & (1 << 64) - 1)
             full = not all(held.insert(int(lo) & (1 << 64) - 1) for lo in new.loc[new["came"], "lo"])
-            return pd.DataFrame({"shard": [key[0]], "filter": [None if full else held.dump()]})
+            shard = int((old if len(old) else new)["shard"].iloc[0])
+            return pd.DataFrame({"shard": [shard], "filter": [None if full else held.dump()]})
 
-        moved = materialise(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInPandas(run, "shard long, filter binary"), "line-filters")
+        moved = materialise(group_frames(self.filters.groupBy("shard").cogroup(changes.groupBy("shard")), run, "shard long, filter binary"), "line-filters")
         if moved.where("filter is null").limit(1).count():  # a shard outgrew its table: build anew from the exact rows
             moved = materialise(build_filters(hot, self.shards), "line-filters")
         return LineIndex(posted, hot, moved, self.shards, self.least, self.least_docs)
@@ -201,6 +220,35 @@ class LineIndex:
         """Forget documents (column doc_id): reverses their insertion exactly."""
         return self._moved(materialise(self.posted.join(doc_ids.select("doc_id").distinct(), "doc_id", "left_anti").select("hi", "lo", "doc_id"), "line-postings"))
 
+    def _routed(self, posted: DataFrame, filter_bytes: int, salts: int = 16, part_bytes: int = 64 << 20) -> DataFrame:
+        """Postings that may be frequent: each meets its shard's filter in one of ``salts`` places, so that no line makes a place hot.
+
+        A place reads its filter first and then any number of postings, batch by batch.
+        """
+        shards = self.shards
+        held = self.filters.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(None).cast("long").alias("hi"), F.lit(None).cast("long").alias("lo"), F.lit(None).cast("long").alias("doc_id"), "filter")
+        sent = posted.select(shard_of(shards).alias("shard"), F.pmod(F.xxhash64("doc_id", "hi"), F.lit(salts)).cast("int").alias("salt"), "hi", "lo", "doc_id", F.lit(None).cast("binary").alias("filter"))
+        places = parts_for(filter_bytes * salts, part_bytes, self.filters.sparkSession.sparkContext.defaultParallelism)
+        dealt = held.union(sent).repartition(places, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("filter").isNull())
+
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            at, now = None, None
+            for pdf in batches:
+                place = list(zip(pdf["shard"], pdf["salt"]))
+                hit = np.zeros(len(pdf), dtype=bool)
+                cuts = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1]), len(place)]
+                for a, b in zip(cuts[:-1], cuts[1:]):
+                    if a == b:
+                        continue
+                    if pdf["filter"].iat[a] is not None:
+                        at, now = place[a], CuckooFilter.load(pdf["filter"].iat[a])
+                        a += 1
+                    if place[b - 1] == at and a < b:
+                        hit[a:b] = now.contains(pdf["lo"].iloc[a:b].to_numpy(dtype=np.int64).view(np.uint64))
+                yield pdf.loc[hit, ["hi", "lo", "doc_id"]]
+
+        return dealt.transform(map_frames, probe, "hi long, lo long, doc_id long")
+
     def drops(self, docs: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
         """Rows (doc_id, keys): the keys whose lines each document loses, packed, 16 bytes each."""
         least, shards = self.least, self.shards
@@ -219,9 +267,9 @@ class LineIndex:
                             hit[own] = held[shard].contains(lo[own].view(np.uint64))
                     yield pdf[hit]
 
-            may = postings(docs, least).mapInPandas(probe, "hi long, lo long, doc_id long")
+            may = postings(docs, least).transform(map_frames, probe, "hi long, lo long, doc_id long")
         else:
-            may = postings(docs, least)
+            may = self._routed(postings(docs, least), size)
         lost = may.join(self.hot, ["hi", "lo"]).where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
         return lost.groupBy("doc_id").agg(F.collect_set(F.struct("hi", "lo")).alias("keys"))
 
@@ -238,29 +286,26 @@ def dedup_lines(
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *columns)
     bare = docs.select("doc_id", "text")
     index = index or LineIndex.build(bare, least, least_docs, keep_postings=False)
-    lost = index.drops(bare).withColumnRenamed("doc_id", "of")
-    joined = docs.join(lost, F.col("doc_id").eqNullSafe(F.col("of")), "left").drop("of")
-    kept = [c for c in joined.columns if c not in ("text", "keys")]
-    fields = {f.name: f.dataType.simpleString() for f in joined.schema.fields}
-    schema = ", ".join(f"`{c}` {fields[c]}" for c in kept) + ", n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * texts
+    lost = index.drops(bare).select(F.col("doc_id").alias("of"), F.flatten(F.transform("keys", lambda k: F.array(k["hi"], k["lo"]))).alias("line_keys"))
+    joined = docs.join(lost, docs["doc_id"].eqNullSafe(lost["of"]), "left")
     least = index.least
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = pdf[kept].copy()
+    @F.pandas_udf("n_lines long, n_dropped long, kept_sha256 string, changed string")
+    def cut(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for whole, drop in batches:
             rows = []
-            for text, keys in zip(pdf["text"], pdf["keys"]):
+            for text, keys in zip(whole, drop):
                 lines = (text or "").split("\n")
                 stay = lines
                 if keys is not None and len(keys):
-                    gone = {np.array([k["hi"], k["lo"]], dtype=np.int64).tobytes() for k in keys}
+                    gone = {k.tobytes() for k in np.asarray(keys, dtype=np.int64).reshape(-1, 2)}
                     stay = [x for x in lines if line_key(x, least) not in gone]
-                whole = "\n".join(stay)
-                rows.append((len(lines), len(lines) - len(stay), hashlib.sha256(whole.encode("utf-8")).hexdigest(), whole)[: 4 if texts else 3])
-            names = ["n_lines", "n_dropped", "kept_sha256", "kept_text"][: 4 if texts else 3]
-            for i, name in enumerate(names):
-                out[name] = [r[i] for r in rows]
-            yield out
+                kept = "\n".join(stay)
+                rows.append((len(lines), len(lines) - len(stay), hashlib.sha256(kept.encode("utf-8")).hexdigest(), kept if texts and len(stay) < len(lines) else None))
+            yield pd.DataFrame(rows, columns=["n_lines", "n_dropped", "kept_sha256", "changed"])
         trim_memory()
 
-    return joined.mapInPandas(run, schema)
+    answer = cut("text", "line_keys")  # one call for all fields
+    told = [answer[c].alias(c) for c in ("n_lines", "n_dropped", "kept_sha256")]
+    # only texts that lost a line come back from Python
+    return joined.select("doc_id", *columns, *told, *([F.coalesce(answer["changed"], "text", F.lit("")).alias("kept_text")] if texts else []))

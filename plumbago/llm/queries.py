@@ -33,7 +33,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
-    out = language_id.identify(docs, language_id.fit(docs))
+    out = language_id.identify(docs.select("doc_id", "text"), language_id.fit(docs))
     return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbago.llm.common import materialise
+from plumbago.llm.common import map_frames, materialise
 from plumbago.llm.golay import near_codewords
 from plumbago.llm.graph import connected_components
 
@@ -66,7 +66,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": np.array([simhash(t, shingle) for t in pdf["text"]], dtype=np.int64)})
 
-    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInPandas(run, "doc_id long, fp long")
+    return df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).transform(map_frames, run, "doc_id long, fp long")
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,12 +112,12 @@ def links(prints: DataFrame, bucket_limit: int = 32) -> DataFrame:
                 part = fp[a : a + 4000]
                 yield pd.DataFrame({"mid": (part[:, None] ^ flips).ravel(), "fp": np.repeat(part, len(flips))})
 
-    keys = materialise(prints.select("fp").mapInPandas(keyed, "key long, fp long"), "golay-keys")
+    keys = materialise(prints.select("fp").transform(map_frames, keyed, "key long, fp long"), "golay-keys")
     sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     hot_keys = sizes.where(F.col("n") > bucket_limit).select("key")
     small = keys.join(sizes.where(F.col("n").between(2, bucket_limit)).select("key"), "key").groupBy("key").agg(F.collect_list("fp").alias("fps"))
-    pairs = small.select("fps").mapInPandas(compared, "u long, v long").distinct()
-    hot = keys.join(hot_keys, "key").select("fp").distinct().mapInPandas(midpoints, "mid long, fp long")
+    pairs = small.select("fps").transform(map_frames, compared, "u long, v long").distinct()
+    hot = keys.join(hot_keys, "key").select("fp").distinct().transform(map_frames, midpoints, "mid long, fp long")
     centres = hot.groupBy("mid").agg(F.min("fp").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").select("mid", "v")
     stars = hot.join(centres, "mid").where("fp <> v").select(F.col("fp").alias("u"), "v").distinct()
     return pairs.union(stars)
