@@ -127,20 +127,44 @@ class ItemIndex:
             self.parts[i] = tuple(shingles(words_of(x)) for x in (text, question, answer))
         return self.parts[i]
 
-    def search(self, terms: np.ndarray, least: float) -> list[tuple[int, float]]:
-        """All items whose score over the given distinct terms is at least ``least``."""
+    def _gather(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Blocks that the lists of the terms have postings in, list after list, and their maxima there."""
+        start = self.block_starts[terms]
+        size = self.block_starts[terms + 1] - start
+        ends = size.cumsum()
+        at = np.arange(ends[-1]) + (start - ends + size).repeat(size)
+        return self.blocks[at], self.bounds[at]
+
+    def search(self, terms: np.ndarray, least: float, at_once: int = 20_000) -> list[tuple[int, float]]:
+        """All items whose score over the given distinct terms is at least ``least``.
+
+        The maxima of up to ``at_once`` blocks are summed together. Beyond that, lists that can't reach the threshold
+        together open no block, and are added, largest first, only for blocks that can still reach it.
+        """
         tops = self.tops[terms]
         if tops.sum() < least:
             return []
-        order = np.argsort(tops)
-        below = np.cumsum(tops[order])
-        idle = int(np.searchsorted(below, least * (1 - 1e-9)))  # these lists can't reach the threshold together
-        rest, busy = below[idle - 1] if idle else 0.0, terms[order[idle:]]
-        start, size = self.block_starts[busy], self.block_starts[busy + 1] - self.block_starts[busy]
-        at = np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)
-        named, place = np.unique(self.blocks[at], return_inverse=True)
-        reach = np.bincount(place, self.bounds[at], len(named)) + rest
-        return [hit for k in named[reach >= least * (1 - 1e-9)].tolist() for hit in self._wand(terms, k, least)]
+        low = least * (1 - 1e-9)
+        if (self.block_starts[terms + 1] - self.block_starts[terms]).sum() <= at_once:
+            blocks, bounds = self._gather(terms)
+            named = np.flatnonzero(np.bincount(blocks, bounds) >= low)
+        else:
+            order = np.argsort(tops)
+            below = np.cumsum(tops[order])
+            idle = int(np.searchsorted(below, low))
+            blocks, bounds = self._gather(terms[order[idle:]])
+            named, place = np.unique(blocks, return_inverse=True)
+            reach = np.bincount(place, bounds, len(named))
+            for k in range(idle - 1, -1, -1):
+                open_ = reach + below[k] >= low
+                named, reach = named[open_], reach[open_]
+                if not len(named):
+                    break
+                a, b = self.block_starts[terms[order[k]]], self.block_starts[terms[order[k]] + 1]
+                at = np.minimum(np.searchsorted(self.blocks[a:b], named), b - a - 1)
+                reach += np.where(self.blocks[a:b][at] == named, self.bounds[a:b][at], 0.0)
+            named = named[reach >= low]
+        return [hit for k in named.tolist() for hit in self._wand(terms, k, least)]
 
     def _wand(self, terms: np.ndarray, block: int, least: float) -> list[tuple[int, float]]:
         """WAND over the postings of one block of items, with the block's maxima as bounds."""

@@ -176,6 +176,7 @@ def test_wand_returns_all_above_threshold():
                 want[int(i)] = want.get(int(i), 0) + g
         for least in (0.05, 0.3, 0.5):
             got = dict(index.search(own, least))
+            assert dict(index.search(own, least, at_once=0)) == got
             assert got.keys() == {i for i, s in want.items() if s >= least - 1e-12} or min(abs(s - least) for s in want.values()) < 1e-9
             assert all(abs(want[i] - s) < 1e-9 for i, s in got.items())
 
