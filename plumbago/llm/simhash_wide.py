@@ -10,10 +10,10 @@ are screened by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four
 the distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
 similarity of ``LEAST`` or more is a link.
 
-Buckets of up to ``bucket_limit`` nodes are compared whole. In larger ones, members first meet the least
-of a small group each, which joins most near-copies of each other. Then the whole bucket is compared
-tile against tile, for members that are not yet in one component; so no pair of a bucket is left out,
-and a crowd of near-copies costs little.
+Buckets of more than ``TILE`` nodes are cut into tiles, so that each pair of members is in one tile, and
+tiles are compared whole: first by the check bits alone, then, for members that have a candidate, with
+their sets. So no pair of a bucket is left out. Within a tile only members not yet connected are verified,
+and no more links leave it than connect them. A bucket of n different nodes costs n * n / ``TILE`` rows.
 
 A node is a distinct set of shingles, named by a 64-bit hash of it (10^10 sets have about three chance
 collisions, each of which would link two texts).
@@ -42,9 +42,9 @@ LANES, PAIRS = 4, 3
 #: Keys of a pair of blocks, and the codewords of a block they are made from.
 KEYS, NEAR = 12, 8
 #: Bits that may differ between near-copies, of 256 and of the last two lanes' 128.
-MAX_BITS, MAX_CHECK = 72, 40
-#: The similarity of near-copies, and how many members of a crowded bucket meet at their least one.
-LEAST, GROUP = 0.8, 16
+MAX_BITS, MAX_CHECK = 60, 35
+#: The similarity of near-copies, and about how many members of a bucket make a side of a tile.
+LEAST, TILE = 0.8, 256
 _LANE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(LANES)], dtype=np.uint64)
 FP = [f"f{k}" for k in range(LANES)]
 
@@ -98,88 +98,90 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _screened(f2: str, f3: str, g2: str, g3: str) -> Column:
-    return F.bit_count(F.col(f2).bitwiseXOR(F.col(g2))) + F.bit_count(F.col(f3).bitwiseXOR(F.col(g3))) <= MAX_CHECK
+def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Members of buckets dealt to tiles (key, i, j): each pair of a bucket's members is in one tile, on its two sides or (side -1) inside it."""
+    tiles = F.ceil(F.col("n") / TILE)
+    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+    side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
+    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "f2", "f3")
 
 
-def _all_met(members: DataFrame) -> DataFrame:
-    """Pairs (u, v) of the nodes of buckets of bounded size that pass the check bits."""
-    a = members.select("key", F.col("node").alias("u"), F.col("f2").alias("u2"), F.col("f3").alias("u3"))
-    b = members.select("key", F.col("node").alias("v"), F.col("f2").alias("v2"), F.col("f3").alias("v3"))
-    met = a.join(b, "key").where((F.col("u") < F.col("v")) & _screened("u2", "u3", "v2", "v3"))
-    return met.select("u", "v").distinct()
+def _near(lanes: list[np.ndarray], k: int, side: np.ndarray, most: int) -> np.ndarray:
+    """Later members of a tile that are within ``most`` bits of member ``k``, and on the other side of the tile."""
+    bits = sum(np.bitwise_count(f[k + 1 :] ^ f[k]) for f in lanes)
+    return k + 1 + np.flatnonzero((bits <= most) & ((side[k + 1 :] != side[k]) | (side[k] < 0)))
 
 
-def _star_met(members: DataFrame) -> DataFrame:
-    """Pairs of each member with the least of its group (key, g) that pass the check bits."""
-    least = members.groupBy("key", "g").agg(F.min(F.struct("node", "f2", "f3")).alias("hub")).select("key", "g", F.col("hub.node").alias("u"), F.col("hub.f2").alias("u2"), F.col("hub.f3").alias("u3"))
-    met = members.join(least, ["key", "g"]).where((F.col("node") != F.col("u")) & _screened("f2", "f3", "u2", "u3"))
-    return met.select("u", F.col("node").alias("v")).distinct()
+def _active(tiles: DataFrame) -> DataFrame:
+    """Members (key, i, j, node, side) of tiles that have another within the check bits."""
 
-
-def _tiles_met(members: DataFrame) -> DataFrame:
-    """Pairs that pass the check bits between the sides of each tile (key, i, j) of a crowded bucket, or inside it (side -1).
-
-    Members of one component are no pair. A tile has two sides of bounded size at most.
-    """
-
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold_cache(_NONE)
         for pdf in batches:
-            for columns in zip(*(pdf[c] for c in ("node", "component", "side", "f2", "f3"))):
-                n, part, side, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
-                if (part == part[0]).all():
-                    continue
-                f2, f3, us, vs = f2.view(np.uint64), f3.view(np.uint64), [], []
-                for k in range(len(n) - 1):
-                    near = np.bitwise_count(f2[k + 1 :] ^ f2[k]) + np.bitwise_count(f3[k + 1 :] ^ f3[k]) <= MAX_CHECK
-                    near &= (part[k + 1 :] != part[k]) & ((side[k + 1 :] != side[k]) | (side[k] < 0))
-                    if near.any():
-                        vs.append(n[k + 1 :][near])
-                        us.append(np.full(len(vs[-1]), n[k]))
-                if us:
-                    u, v = np.concatenate(us), np.concatenate(vs)
-                    yield pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)})
-
-    lists = members.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "component", "side", "f2", "f3")).alias("m"))
-    return lists.select(*[F.col(f"m.{c}").alias(c) for c in ("node", "component", "side", "f2", "f3")]).transform(map_frames, compare, "u long, v long").distinct()
-
-
-def _alike(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """Those of the distinct pairs (u, v) whose sets of shingles are at least ``LEAST`` alike."""
-    side = lambda name: nodes.select(F.col("node").alias(name), *[F.col(c).alias(f"{name}{c}") for c in (*FP, "size")])
-    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in FP[1:]), F.bit_count(F.col("uf0").bitwiseXOR(F.col("vf0"))))
-    sizes = F.least("usize", "vsize") >= LEAST * F.greatest("usize", "vsize") - 1e-6
-    close = materialise(pairs.join(side("u"), "u").join(side("v"), "v").where((apart <= MAX_BITS) & sizes).select("u", "v").distinct(), "wide-close")
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            out = []
+            for key, i, j, *columns in zip(*(pdf[c] for c in ("key", "i", "j", "node", "side", "f2", "f3"))):
+                node, side, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
+                lanes, hit = [f2.view(np.uint64), f3.view(np.uint64)], np.zeros(len(node), dtype=bool)
+                for k in range(len(node) - 1):
+                    found = _near(lanes, k, side, MAX_CHECK)
+                    if len(found):
+                        hit[found] = hit[k] = True
+                out += [(key, i, j, int(node[k]), int(side[k])) for k in np.flatnonzero(hit)]
+            yield pd.DataFrame(out, columns=["key", "i", "j", "node", "side"])
+
+    lists = tiles.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "side", "f2", "f3")).alias("m"))  # at most two sides of about TILE
+    return lists.select("key", "i", "j", *[F.col(f"m.{c}").alias(c) for c in ("node", "side", "f2", "f3")]).transform(map_frames, run, "key long, i long, j long, node long, side long")
+
+
+def _verified(active: DataFrame, held: DataFrame) -> DataFrame:
+    """Links (u, v) between members whose sets are at least ``LEAST`` alike: of each tile as many as connect all that are linked in it."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        if len(small) < LEAST * len(large) - 1e-6:
+            return False
+        if not len(large):
+            return True
+        both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+        return both >= LEAST * (len(x) + len(y) - both) - 1e-6
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for a in range(0, len(pdf), 256):
-                part = pdf.iloc[a : a + 256]
-                yield pd.DataFrame({"node": part["node"].to_numpy(), "held": [shingle_set(t, shingle).tobytes() for t in part["text"]]})
+            out = []
+            for nodes, sides, blobs, *lanes in zip(*(pdf[c] for c in ("node", "side", "held", *FP))):
+                node, side = np.asarray(nodes, dtype=np.int64), np.asarray(sides, dtype=np.int64)
+                lanes, sets = [np.asarray(f, dtype=np.int64).view(np.uint64) for f in lanes], [np.frombuffer(b, dtype=np.uint64) for b in blobs]
+                part = np.arange(len(node))
+                for k in range(len(node) - 1):
+                    for m in _near(lanes, k, side, MAX_BITS):
+                        if part[m] != part[k] and alike(sets[k], sets[m]):
+                            out.append((int(node[k]), int(node[m])))
+                            part[part == part[m]] = part[k]
+            yield pd.DataFrame(out, columns=["u", "v"])
         trim_memory()
 
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    columns = ["node", "side", "held", *FP]
+    lists = active.join(held, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("m"))
+    return lists.select(*[F.col(f"m.{c}").alias(c) for c in columns]).transform(map_frames, run, "u long, v long").distinct()
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, shingle: int) -> DataFrame:
+    """Rows (node, f0..f3, held) of nodes: the text of one row stands for each, and its set of shingles is held whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            good = np.zeros(len(pdf), dtype=bool)
-            for k, (a, b) in enumerate(zip(pdf["a"], pdf["b"])):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good[k] = both >= LEAST * (len(x) + len(y) - both) - 1e-6
-            yield pdf.loc[good, ["u", "v"]]
+            for a in range(0, len(pdf), 256):
+                part = pdf.iloc[a : a + 256]
+                yield part[["node", *FP]].assign(held=[shingle_set(t, shingle).tobytes() for t in part["text"]])
         trim_memory()
 
-    wanted = close.select(F.col("u").alias("node")).union(close.select(F.col("v").alias("node"))).distinct()
-    # the text of one row stands for each node
-    chosen = nodes.join(wanted, "node").select("node", F.col("first_id").alias("doc_id"), F.col("first_mark").alias("mark"))
-    both = docs["doc_id"].eqNullSafe(chosen["doc_id"]) & (docs["mark"] == chosen["mark"])
-    texts = docs.join(chosen, both).select("node", "text").transform(map_frames, sets, "node long, held binary")
-    held = materialise(texts, "wide-sets")
-    a, b = (held.select(F.col("node").alias(n), F.col("held").alias(h)) for n, h in (("u", "a"), ("v", "b")))
-    return materialise(close.join(a, "u").join(b, "v").transform(map_frames, verify, "u long, v long").distinct(), "wide-links")
+    chosen = nodes.select("node", *FP, F.col("first_id").alias("chosen_id"), F.col("first_mark").alias("chosen_mark"))
+    both = F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("mark") == F.col("chosen_mark"))
+    texts = docs.join(chosen, both).select("node", *FP, "text")
+    return texts.transform(map_frames, run, "node long, " + ", ".join(f"{c} long" for c in FP) + ", held binary").dropDuplicates(["node"])
 
 
-def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, bucket_limit: int = 32) -> DataFrame:
+def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
     """Rows (doc_id, mark, component_id, stays) of every document.
 
     component_id is the least id reachable. ``mark`` is the text's (``text_mark``), and of each component the rows
@@ -211,25 +213,11 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     facts = marks.groupBy("node").agg(*[F.min(c).alias(c) for c in (*FP, "size")], least.alias("first"))
     nodes = materialise(facts.select("node", *FP, "size", F.col("first.doc_id").alias("first_id"), F.col("first.mark").alias("first_mark")), "wide-prints")
     one = marks.join(nodes.select("node", "first_id", "first_mark"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
-    keys = materialise(one.select("node", "f2", "f3", F.explode("keys").alias("key")), "wide-keys")  # a repeated row repeats its keys, which changes no link
+    keys = materialise(one.select("node", "f2", "f3", F.explode("keys").alias("key")).distinct(), "wide-keys")
     sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
-    many = sizes.where(F.col("n") > bucket_limit)
-    pairs = _all_met(keys.join(sizes.where(F.col("n") <= bucket_limit), "key"))
-    crowds = many.limit(1).count() > 0
-    if crowds:
-        pairs = pairs.union(_star_met(keys.join(many, "key").withColumn("g", F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("n") / GROUP))))).distinct()
-    edges = _alike(pairs, nodes, docs, shingle)
-    if crowds:
-        parts = materialise(connected_components(edges), "wide-parts")
-        inside = keys.join(many, "key").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = inside.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-        tiles = F.ceil(F.col("n") / (16 * bucket_limit))
-        dealt = inside.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
-        side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
-        dealt = dealt.withColumns({"side": side, "i": F.least("own", "other"), "j": F.greatest("own", "other")})
-        late = _alike(_tiles_met(dealt), nodes, docs, shingle)
-        edges = parts.select(F.col("node").alias("u"), F.col("component").alias("v")).union(late)
-    parts = connected_components(edges)
+    active = materialise(_active(_tiles(keys, sizes)), "wide-active")
+    held = materialise(_sets(docs, nodes.join(active.select("node").distinct(), "node"), shingle), "wide-sets")
+    parts = connected_components(materialise(_verified(active, held), "wide-links"))
     placed = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.struct(F.col("first_id").isNull().alias("bare"), F.col("first_id").alias("id"), F.col("first_mark").alias("mark")).alias("first"))
     heads = placed.groupBy("component").agg(F.min("first").alias("head"))
     named = materialise(placed.join(heads, "component").select("node", "head"), "wide-named")

@@ -143,7 +143,7 @@ def test_near_copies(spark):
             copies.append((10 + k, 1000 + k))
     crowd = fresh(400)
     docs += [(5000 + k, " ".join(edit(crowd, 3))) for k in range(120)] + [(4999, " ".join(crowd)), (4998, " ".join(crowd).upper())]
-    got = {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, docs), bucket_limit=8).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(frame(spark, docs)).collect()}
     assert len(got) == len(docs) and got[0] == got[1] == 0 and got[2] == 2
     assert sum(got[b] == a for a, b in copies) >= len(copies) - 1
     assert all(got[10 + k] == 10 + k for k in range(60))
@@ -189,7 +189,8 @@ def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
     monkeypatch.setattr(simhash_wide, "pair_keys", lambda x: np.full((len(x), 1), 7, dtype=np.int64))
     docs = [(k, " ".join(f"u{k}x{i}" for i in range(100))) for k in range(300)]
     docs += [(1000 + k, docs[k][1] + " tail") for k in range(0, 300, 5)]
-    got = _wide_cases(spark)(docs, bucket_limit=4)
+    monkeypatch.setattr(simhash_wide, "TILE", 4)
+    got = _wide_cases(spark)(docs)
     assert got == {k: k - 1000 if k >= 1000 else k for k, _ in docs}
 
 
