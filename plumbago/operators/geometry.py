@@ -1,7 +1,7 @@
 """Joint log-geometry densities, importance weights, capped probabilities and resampling.
 
 Rows of one grid cell share their ratio and probability, so everything after binning works on at
-most bins squared cells: the capping passes run over that table, never over rows.
+most bins squared cells: capping runs over that table, never over rows.
 """
 
 from __future__ import annotations
@@ -63,37 +63,31 @@ def importance_weights(ratios: DataFrame) -> DataFrame:
     return ratios.crossJoin(F.broadcast(total)).select(*CELL, "n", "ratio", F.try_divide(F.col("ratio") * F.col("rows"), F.col("mass")).alias("weight"))
 
 
-def cap_cells(ratio: np.ndarray, rows: np.ndarray, draws: int, max_repeats: int = 10, passes: int = 6, exclude_zero: bool = False) -> np.ndarray:
+def cap_cells(ratio: np.ndarray, rows: np.ndarray, draws: int, max_repeats: int = 10, exclude_zero: bool = False) -> np.ndarray:
     """Probability of a row of each cell, capped so that its expected repeats stay within the limit.
 
-    What clipping releases goes to the other cells by their headroom. Headroom is largest where the
-    ratio is zero; ``exclude_zero`` keeps such cells out.
+    The mass above the cap moves all open cells the same part of their way to it: with ``part`` the mass above
+    over the room below, a row at p goes to p + part * (cap - p), which never passes the cap, so that one step is
+    final. The way is longest where the ratio is zero; ``exclude_zero`` keeps such cells where they are.
     """
-    p = ratio / np.sum(ratio * rows)
+    plain = ratio / (ratio @ rows)
     if max_repeats <= 0:
-        return p
+        return plain
     cap = max_repeats / draws
-    for _ in range(passes):
-        over = p > cap
-        if not over.any():
-            break
-        released = float(np.sum((p - cap)[over] * rows[over]))
-        p = np.where(over, cap, p)
-        open_ = ~over & (ratio > 0) if exclude_zero else ~over
-        room = float(np.sum((cap - p)[open_] * rows[open_]))
-        if room <= 0:
-            break
-        p[open_] += (cap - p)[open_] / room * min(released, room)
-    return p / np.sum(p * rows)
-
-
-def capped_probabilities(ratios: DataFrame, draws: int, max_repeats: int = 10, passes: int = 6, exclude_zero: bool = False) -> DataFrame:
+    level = np.clip(plain, None, cap)
+    room = (cap - level) * (ratio > 0 if exclude_zero else 1)
+    above, below = (plain - level) @ rows, room @ rows
+    out = level + room * (min(1.0, above / below) if below > 0 else 0.0)
+    return out / (out @ rows)
+
+
+def capped_probabilities(ratios: DataFrame, draws: int, max_repeats: int = 10, exclude_zero: bool = False) -> DataFrame:
     """Cells with their row probability; the table has at most bins squared rows, so it is capped on the driver."""
     cells = ratios.select(*CELL, "n", "ratio").collect()
     ratio, rows = np.array([c["ratio"] for c in cells], dtype=float), np.array([c["n"] for c in cells], dtype=float)
-    if not len(cells) or not np.sum(ratio * rows) > 0:
+    if not len(cells) or not ratio @ rows > 0:
         raise ValueError("the geometries don't overlap")
-    p = cap_cells(ratio, rows, draws, max_repeats, passes, exclude_zero)
+    p = cap_cells(ratio, rows, draws, max_repeats, exclude_zero)
     return ratios.sparkSession.createDataFrame([(c["hb"], c["ab"], c["n"], float(c["ratio"]), float(x)) for c, x in zip(cells, p)], "hb int, ab int, n long, ratio double, p double")
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 INDEX_COLUMNS = ("shard", "offset", "length", "width", "height")
@@ -73,3 +74,69 @@ def read_payloads(index: DataFrame, folder: str) -> DataFrame:
             yield pdf.assign(payload=out)
 
     return index.repartition("shard").sortWithinPartitions("shard", "offset").mapInPandas(run, schema)
+
+
+def write_index(df: DataFrame, path: str) -> None:
+    """An index of the store's columns, each with its type."""
+    conform_index(df).write.mode("overwrite").parquet(path)
+
+
+def number_shards(df: DataFrame, group: str, order: str, length: str, limit: int) -> DataFrame:
+    """``assign_shards`` with numbers that no two writer groups share, in order of the groups."""
+    own = assign_shards(df, group, order, length, limit)
+    used = own.groupBy(group).agg((F.max("shard") + 1).alias("used"))  # a row for a writer
+    first = F.coalesce(F.sum("used").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_shard")
+    return own.join(used.select(group, first), group).withColumn("shard", (F.col("shard") + F.col("first_shard")).cast("int")).drop("first_shard")
+
+
+def _file_system(folder: str):
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+
+
+def write_payloads(df: DataFrame, folder: str, payload: str = "payload") -> DataFrame:
+    """Write rows (shard, offset, length, payload) as ``shard_%05d.bin`` and return them without the payload.
+
+    A task writes its shards payload after payload under names of its own and moves a finished one to its place,
+    so that a lost or repeated task leaves no half of a shard.
+    """
+    kept = df.drop(payload)
+    names = kept.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = _file_system(folder)
+        system.create_dir(path, recursive=True)
+        now = out = name = None
+        for pdf in batches:
+            for shard, data in zip(pdf["shard"], pdf[payload]):
+                if shard != now:
+                    if out is not None:
+                        out.close()
+                        system.move(name, f"{path}/shard_{now:05d}.bin")
+                    now, name = shard, f"{path}/.{uuid.uuid4().hex}"
+                    out = system.open_output_stream(name)
+                out.write(data)
+            yield pdf[names]
+        if out is not None:
+            out.close()
+            system.move(name, f"{path}/shard_{now:05d}.bin")
+
+    return df.repartition("shard").sortWithinPartitions("shard", "offset").mapInPandas(run, kept.schema)
+
+
+def write_files(df: DataFrame, folder: str, name: str = "file", payload: str = "payload") -> DataFrame:
+    """A file for each row; returns the rows without the payload, for the manifest."""
+    kept = df.drop(payload)
+    names = kept.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = _file_system(folder)
+        for pdf in batches:
+            for file, data in zip(pdf[name], pdf[payload]):
+                system.create_dir(f"{path}/{file}".rpartition("/")[0], recursive=True)
+                with system.open_output_stream(f"{path}/{file}") as out:
+                    out.write(data)
+            yield pdf[names]
+
+    return df.mapInPandas(run, kept.schema)

@@ -13,13 +13,13 @@ from plumbago.plans.stand_ins import CROPS_SQL, crops, table
 DRAWS = 5000
 
 
-def _roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def roles(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = crops(spark, sf_dir)
     return rows.where("role = 'candidate'"), rows.where("role = 'target'")
 
 
 def _ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates, target = _roles(spark, sf_dir)
+    candidates, target = roles(spark, sf_dir)
     edges = geometry.grid_edges(candidates, target)
     return geometry.density_ratio(geometry.with_cells(candidates, edges), geometry.with_cells(target, edges))
 
@@ -29,7 +29,7 @@ def quantile_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def profile_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates, target = _roles(spark, sf_dir)
+    candidates, target = roles(spark, sf_dir)
     profile = lambda d: quantiles.profile(d, ["height", "aspect"])
     return rounded(quantiles.compare_profiles(profile(candidates), profile(target), ["height", "aspect"]), 5)
 
@@ -41,11 +41,11 @@ def inverse_cdf_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(geometry.grid_edges(*_roles(spark, sf_dir)))
+    return rounded(geometry.grid_edges(*roles(spark, sf_dir)))
 
 
 def grid_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates, target = _roles(spark, sf_dir)
+    candidates, target = roles(spark, sf_dir)
     return rounded(geometry.cell_density(geometry.with_cells(target, geometry.grid_edges(candidates, target))))
 
 
@@ -63,12 +63,12 @@ def weighted_ess(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def capped_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = geometry.capped_probabilities(_ratios(spark, sf_dir), DRAWS, 1, passes=2)
+    cells = geometry.capped_probabilities(_ratios(spark, sf_dir), DRAWS, 1)
     return rounded(cells.select("hb", "ab", "n", (F.col("p") * DRAWS).alias("expected")), 6)
 
 
 def resample_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    candidates, target = _roles(spark, sf_dir)
+    candidates, target = roles(spark, sf_dir)
     edges = geometry.grid_edges(candidates, target)
     placed = geometry.with_cells(candidates, edges)
     cells = geometry.capped_probabilities(geometry.density_ratio(placed, geometry.with_cells(target, edges)), DRAWS)
@@ -88,7 +88,7 @@ def luminance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c.select("p_partkey", own.alias("luminance"), numeric.contrast_ratio(own, F.lit(1.0)).alias("contrast")), 6)
 
 
-_CELLS = f"""{CROPS_SQL}, both_ AS (SELECT * FROM crop WHERE role IS NOT NULL),
+CELLS_SQL = f"""{CROPS_SQL}, both_ AS (SELECT * FROM crop WHERE role IS NOT NULL),
 edge AS (SELECT min(ln(greatest(height, 8.0::DOUBLE))) AS h_low, max(ln(greatest(height, 8.0::DOUBLE))) AS h_high, min(ln(greatest(aspect, 1.05::DOUBLE))) AS a_low, max(ln(greatest(aspect, 1.05::DOUBLE))) AS a_high FROM both_),
 cell AS (SELECT role, least(greatest(floor((ln(greatest(height, 8.0::DOUBLE)) - h_low) / (h_high - h_low) * 10), 0), 9)::INT AS hb, least(greatest(floor((ln(greatest(aspect, 1.05::DOUBLE)) - a_low) / (a_high - a_low) * 10), 0), 9)::INT AS ab FROM both_, edge),
 dens AS (SELECT role, hb, ab, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY role) AS density FROM cell GROUP BY role, hb, ab),
@@ -122,12 +122,12 @@ SQL = {
       SELECT metric, probe, round(candidate, 5) AS candidate, round(reference, 5) AS reference, round(candidate / reference, 5) AS ratio, round(gap, 5) + 0.0 AS median_gap, CASE WHEN gap <= 0.15 THEN 'ok' WHEN gap <= 0.35 THEN 'close' ELSE 'off' END AS verdict FROM j""",
     "inverse_cdf_sample": f"""WITH {CROPS_SQL}, g AS (SELECT quantile_cont(height, {_Q}) AS q FROM crop), e AS (SELECT event_id, ((event_id * 1103515245 + 12345) % 2147483648) / 2147483648.0::DOUBLE AS u FROM events)
       SELECT event_id, round({_LERP.format(u='u')}, 6) AS height FROM e, g""",
-    "grid_edges": f"WITH {_CELLS} SELECT round(h_low, 8) AS h_low, round(h_high, 8) AS h_high, round(a_low, 8) AS a_low, round(a_high, 8) AS a_high FROM edge",
-    "grid_density": f"WITH {_CELLS} SELECT hb, ab, n, round(density, 8) AS density FROM dens WHERE role = 'target'",
-    "density_ratio": f"WITH {_CELLS} SELECT hb, ab, n, round(ratio, 6) AS ratio FROM ratio",
-    "importance_weights": f"WITH {_CELLS} SELECT hb, ab, n, round(weight, 6) AS weight FROM wt",
-    "weighted_ess": f"WITH {_CELLS} SELECT round(sum(weight * n) ** 2 / sum(weight * weight * n), 4) AS effective FROM wt",
-    "capped_probabilities": f"""WITH {_CELLS}, p0 AS (SELECT hb, ab, n, ratio / sum(ratio * n) OVER () AS p FROM ratio), {_pass('p0', 'p1')}, {_pass('p1', 'p2')}
+    "grid_edges": f"WITH {CELLS_SQL} SELECT round(h_low, 8) AS h_low, round(h_high, 8) AS h_high, round(a_low, 8) AS a_low, round(a_high, 8) AS a_high FROM edge",
+    "grid_density": f"WITH {CELLS_SQL} SELECT hb, ab, n, round(density, 8) AS density FROM dens WHERE role = 'target'",
+    "density_ratio": f"WITH {CELLS_SQL} SELECT hb, ab, n, round(ratio, 6) AS ratio FROM ratio",
+    "importance_weights": f"WITH {CELLS_SQL} SELECT hb, ab, n, round(weight, 6) AS weight FROM wt",
+    "weighted_ess": f"WITH {CELLS_SQL} SELECT round(sum(weight * n) ** 2 / sum(weight * weight * n), 4) AS effective FROM wt",
+    "capped_probabilities": f"""WITH {CELLS_SQL}, p0 AS (SELECT hb, ab, n, ratio / sum(ratio * n) OVER () AS p FROM ratio), {_pass('p0', 'p1')}, {_pass('p1', 'p2')}
       SELECT hb, ab, n, round(p / sum(p * n) OVER () * {DRAWS}, 6) AS expected FROM p2""",
     "tilt_ceiling": f"""WITH {CROPS_SQL}, t AS (SELECT *, radians(abs(l_partkey % 37 - 18)::DOUBLE) AS a, 1.0::DOUBLE / greatest(aspect, 1.0::DOUBLE) AS s FROM crop)
       SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, round(CASE WHEN s >= 1 THEN 18.0::DOUBLE ELSE least(18.0::DOUBLE, degrees(asin(s))) END, 6) AS ceiling,

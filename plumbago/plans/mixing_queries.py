@@ -102,7 +102,7 @@ def address_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     index = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index"), F.col("n_chars").alias("length"))
     asked = table(spark, sf_dir, "events").select("event_id", (F.col("event_id") * 3).alias("index"))
-    return lookup(index, asked, "index", 150)
+    return lookup(index, asked, "index", index.count())
 
 
 _S = "s AS (" + " UNION ALL ".join(f"SELECT {i} AS share, '{n}' AS name, count(*) AS dataset_rows, {k}::BIGINT AS sample_count FROM {t}" for i, (n, t, k) in enumerate(SHARES)) + """),
@@ -135,5 +135,5 @@ SQL = {
       SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, slice_name, number, printf('%05d.png', number) AS file FROM n""",
     "slice_counts": "SELECT l_returnflag AS slice_name, count(*) AS n FROM lineitem GROUP BY 1",
     "distinct_slices": "SELECT DISTINCT l_returnflag AS slice_name FROM lineitem",
-    "address_lookup": 'SELECT (event_id * 3) % 150 AS "index", event_id, n_chars AS length FROM events JOIN documents ON doc_id = (event_id * 3) % 150',
+    "address_lookup": 'WITH c AS (SELECT count(*) AS n FROM documents) SELECT (event_id * 3) % n AS "index", event_id, n_chars AS length FROM events, c JOIN documents ON doc_id = (event_id * 3) % n',
 }

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbago.plans import annotation_queries, corpus_queries, geometry_queries, mixing_queries, scoring
+from plumbago.plans import annotation_queries, corpus_queries, detail_queries, geometry_queries, mixing_queries, scoring
 
-MODULES = (scoring, geometry_queries, annotation_queries, corpus_queries, mixing_queries)
+MODULES = (scoring, geometry_queries, annotation_queries, corpus_queries, mixing_queries, detail_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +33,11 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return conform_manifest(spark.read.parquet(path))
 
 
+def write_manifest(df: DataFrame, path: str) -> None:
+    """A manifest of the known columns, the weight filled in."""
+    conform_manifest(df).write.mode("overwrite").parquet(path)
+
+
 def manifest_from_records(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     if not rows:
         raise ValueError("a manifest needs at least one row")
@@ -118,6 +125,29 @@ def lines_digest(df: DataFrame, line: str, number: str, group_rows: int = 100_00
     return groups.agg(F.sha2(ordered("digest", "block"), 256).alias("sha256"), F.count(F.lit(1)).alias("blocks"))
 
 
+def parts_digest(folder: str) -> str:
+    """SHA-256 of a written corpus, as of one file: its part files in order of their names, read piece by piece.
+
+    A digest depends on all bytes before, so this is one stream; ``lines_digest`` is the distributed one.
+    """
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
+    out = hashlib.sha256()
+    for f in sorted(system.get_file_info(fs.FileSelector(path)), key=lambda f: f.path):
+        if f.is_file and not f.base_name.startswith(("_", ".")):
+            with system.open_input_stream(f.path, compression=None) as source:
+                while piece := source.read(1 << 20):
+                    out.update(piece)
+    return out.hexdigest()
+
+
+def write_fonts(df: DataFrame, path: str) -> None:
+    """A font index, coverage ranges flat again."""
+    flat = F.flatten(F.transform("coverage", lambda r: F.array(r["lo"], r["hi"])))
+    df.select("path", "scripts", flat.alias("coverage")).write.mode("overwrite").json(path)
+
+
 def read_fonts(spark: SparkSession, path: str) -> DataFrame:
     """Font index with its flat coverage list as ranges."""
     df = spark.read.schema(FONTS).json(path, multiLine=True)
