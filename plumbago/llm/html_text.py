@@ -5,7 +5,9 @@ asides, forms, notices, adverts, comments and the like gives empty lines, and so
 mostly links. Wrappers that look like boilerplate but hold the page's only article or main element, and
 those named for the layout (sidebar, widget, form) that together hold most of its text, count as text
 (``spared``). The lengths of a sliding window of lines form the block distribution; it surges where
-text begins and dives to nothing after a gap of empty lines, which cuts the page into regions. Article
+text begins and dives to nothing after a gap of empty lines, which cuts the page into regions. Inside
+an article, elements whose name only begins with a word of boilerplate (related-work) are text if they hold
+some outside links. Article
 and main elements, where there are any, say what belongs to the text. Else it reaches from the first
 region of ``surge`` characters or with a main heading to the last of ``surge`` characters, and all
 between is kept, however long the rest; without such a region the whole page is.
@@ -42,8 +44,12 @@ HINT = re.compile(
 )
 #: Fixed value: words of it that say where an element stands, not what it is; and words that a class only mentions.
 LAYOUT = re.compile(r"side(?:bar\w*)?|widget\w*|form|header|masthead|topbar|toolbar|overlay|modal", re.I)
+#: Fixed value: words of it that are as often the subject of a text, where they are part of a longer name.
+TOPIC = re.compile(r"[^\s]*(?:social|related|share|sharing|search|legal|alert|login|signup|form|copyright|menu|promo)[_-][^\s]+", re.I)
+#: Elements that hold a text's words themselves, and characters from which others named by a subject are text.
+TEXTUAL, TOPIC_CHARS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote em strong b i span".split()), 100
 _MENTION = re.compile(r"(?:^|[\s_-])(?:no|has|with|without|hide)[_-]\S*", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _SPACE = re.compile(r"\s+")
 #: In the page itself: a lower-cased copy can be longer (U+0130).
@@ -75,8 +81,8 @@ class _Lines:
 class _Element:
     """An element that looks like boilerplate: characters of text outside links, and articles, without those of such elements inside."""
 
-    def __init__(self, number: int, layout: bool) -> None:
-        self.number, self.layout = number, layout
+    def __init__(self, number: int, layout: bool, topic: int | None = None) -> None:
+        self.number, self.layout, self.topic = number, layout, topic  # topic: characters of text it needs to be none
         self.text = self.articles = 0
         self.inside: list[_Element] = []
 
@@ -88,7 +94,8 @@ def spared(page: _Element) -> set[int]:
         todo.extend(e.inside)
     for e in reversed(todo):
         held[e] = (e.text + sum(held[x][0] for x in e.inside), e.articles + sum(held[x][1] for x in e.inside))
-    articles, outer, out = page.articles, list(page.inside), set()
+    out = {e.number for e in todo if e.topic is not None and held[e][0] >= e.topic}
+    articles, outer = page.articles, list(page.inside)
     while True:
         wrappers = [e for e in outer if held[e][1]] if not articles else []
         layout = [e for e in outer if e.layout]
@@ -188,7 +195,7 @@ def page_lines(html: str, gap: int, spare: set[int] | None = None) -> list[tuple
                     if stack[depth][0] in BLOCK:
                         break
         boiler = name in BOILERPLATE
-        layout = name in ("form", "fieldset")
+        layout, topic = name in ("form", "fieldset"), None
         if not boiler and name not in ("html", "body") and m[3]:
             words, hidden = [], False
             for key, a, b, c in _ATTRIBUTE.findall(m[3]):
@@ -197,13 +204,15 @@ def page_lines(html: str, gap: int, spare: set[int] | None = None) -> list[tuple
                     words += [w for w in _MENTION.sub(" ", value).split() if HINT.search(w)]
                 hidden |= key == "hidden" or key == "aria-hidden" and value.lower() == "true"
             boiler = hidden or bool(words)
+            # inside an article, a longer name that begins with such a word tells the subject of a text
+            topic = (0 if name in TEXTUAL else TOPIC_CHARS) if container and words and not hidden and all(TOPIC.fullmatch(w) for w in words) else None
             layout = not hidden and all(LAYOUT.search(w) and not HINT.search(LAYOUT.sub("", w)) for w in words)
         if boiler:
             number += 1
             if spare and number in spare:
                 boiler = False
         if boiler:
-            within[-1].inside.append(_Element(number, layout))
+            within[-1].inside.append(_Element(number, layout, topic))
             within.append(within[-1].inside[-1])
         if name in CONTAINER:
             within[-1].articles += 1

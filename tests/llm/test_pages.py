@@ -124,3 +124,14 @@ def test_extraction_keeps_rows(spark):
     rows = extract_text(frame(spark, [(1, "u", "<article><p>é x</p></article>"), (None, None, None), (1, "u", "<article><p>é x</p></article>")])).collect()
     assert sorted((r["page_id"] or 0, r["url"], r["text"], r["n_chars"]) for r in rows if r["page_id"]) == [(1, "u", "é x", 3)] * 2
     assert [tuple(r) for r in rows if r["page_id"] is None] == [(None, None, "", 0)]
+
+
+def test_quotes_inside_unquoted_values():
+    assert main_text("<article><p title=it's>Hello</p><p>It's fine</p></article>") == "Hello\nIt's fine"
+    assert main_text("<article><p title='a > b' data-x=\"c > d\">Hello</p></article>") == "Hello"
+
+
+def test_names_that_tell_a_subject():
+    long = "A section about earlier work in the field, " * 4
+    page = f"<article><p class='social-history'>Kept.</p><div id=related-work><p>{long}</p></div><div class='related-posts'><a href=x>One</a> <a href=y>Two</a></div><div class=comment-list><p>{long}</p></div></article>"
+    assert main_text(page) == "Kept.\n" + long.strip()
