@@ -5,7 +5,7 @@ beyond what segments of it can meet exactly. Here six 23-bit blocks of a longer
 to codewords with the votes behind their bits (a bit that hangs by a few shingles counts little), and
 each of three disjoint pairs of blocks gives ``KEYS`` join keys: the pairs of codeword indices that
 agree best with the votes. At a similarity of 0.8 a pair of blocks meets about three times in four, so
-that 98 % of such texts meet in one of the three (tests/llm/test_dedup.py measures it). Pairs that meet
+that by simulation 98 % meet in one of the three (of 150 edited texts at 0.80 to 0.85, 149 did). Pairs that meet
 are screened by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four deviations and more above
 the distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
 similarity of ``LEAST`` or more is a link.
