@@ -10,10 +10,13 @@ are screened by 128 bits, then by all 256: ``MAX_BITS`` of them may differ, four
 the distance to expect at 0.8. What is left is verified by the sets of shingles themselves: only a Jaccard
 similarity of ``LEAST`` or more is a link.
 
-Buckets of more than ``TILE`` nodes are cut into tiles, so that each pair of members is in one tile, and
-tiles are compared whole: first by the check bits alone, then, for members that have a candidate, with
-their sets. So no pair of a bucket is left out. Within a tile only members not yet connected are verified,
-and no more links leave it than connect them. A bucket of n different nodes costs n * n / ``TILE`` rows.
+Buckets of more than ``TILE`` nodes are dealt into tiles at random, a row a member, and compared tile by
+tile: first by the check bits alone, then, for members that have a candidate, with their sets. A bucket that
+the links found so far connect whole is done. The others are dealt once more, and then each pair of members
+of different groups is compared, but for pairs inside the bucket's largest group, which are connected: with
+n members, k of them outside the largest group, that costs up to k * n / ``TILE`` rows. So no link that could
+connect two components is left out. Within a tile only members not yet connected are verified, and no more
+links leave it than connect them.
 
 A node is a distinct set of shingles, named by a 64-bit hash of it (10^10 sets have about three chance
 collisions, each of which would link two texts).
@@ -98,12 +101,34 @@ def text_mark(text: Column) -> Column:
     return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
-def _tiles(members: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Members of buckets dealt to tiles (key, i, j): each pair of a bucket's members is in one tile, on its two sides or (side -1) inside it."""
-    tiles = F.ceil(F.col("n") / TILE)
-    dealt = members.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), tiles)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), tiles - 1)))
+def _dealt(members: DataFrame, salt: int) -> DataFrame:
+    """Members (key, n, node, group, f2, f3) of buckets, each in one tile (key, i, j) of its bucket, drawn by ``salt``: a row a member."""
+    tile = F.pmod(F.xxhash64("node", "key", F.lit(salt)), F.ceil(F.col("n") / TILE))
+    return members.select("key", tile.alias("i"), tile.alias("j"), "node", F.lit(-1).cast("long").alias("side"), "group", "f2", "f3")
+
+
+def _across(members: DataFrame) -> DataFrame:
+    """Members (key, n, n_largest, largest, node, group, f2, f3) dealt to tiles that hold each pair of a bucket's members, but for pairs inside its largest group.
+
+    A pair is on the two sides of its tile, or (side -1) inside it. The rest of a bucket has the first tiles, its largest group those that follow.
+    """
+    inside = F.col("group") == F.col("largest")
+    rest, large = F.ceil((F.col("n") - F.col("n_largest")) / TILE), F.ceil(F.col("n_largest") / TILE)
+    drawn = F.xxhash64("node", "key", F.lit(-1))
+    own = F.when(inside, rest + F.pmod(drawn, large)).otherwise(F.pmod(drawn, rest))
+    others = F.sequence(F.lit(0).cast("long"), F.when(inside, rest).otherwise(rest + large) - 1)
+    tiles = members.withColumn("own", own).withColumn("other", F.explode(others))
     side = F.when(F.col("own") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("own"))
-    return dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "f2", "f3")
+    return tiles.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", side.alias("side"), "group", "f2", "f3")
+
+
+def _open(crowd: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of those crowded buckets (key, n, node, f2, f3) that links don't connect whole, with their component as group."""
+    parts = connected_components(links)
+    named = materialise(crowd.join(parts, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component"), "wide-crowd")
+    groups = named.groupBy("key", "group").agg(F.count(F.lit(1)).alias("held"))
+    most = groups.groupBy("key").agg(F.max(F.struct("held", "group")).alias("most"), F.count(F.lit(1)).alias("groups")).where("groups > 1")
+    return named.join(most.select("key", F.col("most.held").alias("n_largest"), F.col("most.group").alias("largest")), "key")
 
 
 def _near(lanes: list[np.ndarray], k: int, side: np.ndarray, most: int) -> np.ndarray:
@@ -113,24 +138,25 @@ def _near(lanes: list[np.ndarray], k: int, side: np.ndarray, most: int) -> np.nd
 
 
 def _active(tiles: DataFrame) -> DataFrame:
-    """Members (key, i, j, node, side) of tiles that have another within the check bits."""
+    """Members (key, i, j, node, side, group) of tiles that have one of another group within the check bits."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hold_cache(_NONE)
         for pdf in batches:
             out = []
-            for key, i, j, *columns in zip(*(pdf[c] for c in ("key", "i", "j", "node", "side", "f2", "f3"))):
-                node, side, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
+            for key, i, j, *columns in zip(*(pdf[c] for c in ("key", "i", "j", "node", "side", "group", "f2", "f3"))):
+                node, side, group, f2, f3 = (np.asarray(c, dtype=np.int64) for c in columns)
                 lanes, hit = [f2.view(np.uint64), f3.view(np.uint64)], np.zeros(len(node), dtype=bool)
                 for k in range(len(node) - 1):
                     found = _near(lanes, k, side, MAX_CHECK)
+                    found = found[group[found] != group[k]]
                     if len(found):
                         hit[found] = hit[k] = True
-                out += [(key, i, j, int(node[k]), int(side[k])) for k in np.flatnonzero(hit)]
-            yield pd.DataFrame(out, columns=["key", "i", "j", "node", "side"])
+                out += [(key, i, j, int(node[k]), int(side[k]), int(group[k])) for k in np.flatnonzero(hit)]
+            yield pd.DataFrame(out, columns=["key", "i", "j", "node", "side", "group"])
 
-    lists = tiles.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "side", "f2", "f3")).alias("m"))  # at most two sides of about TILE
-    return lists.select("key", "i", "j", *[F.col(f"m.{c}").alias(c) for c in ("node", "side", "f2", "f3")]).transform(map_frames, run, "key long, i long, j long, node long, side long")
+    lists = tiles.groupBy("key", "i", "j").agg(F.collect_list(F.struct("node", "side", "group", "f2", "f3")).alias("m"))  # at most two sides of about TILE
+    return lists.select("key", "i", "j", *[F.col(f"m.{c}").alias(c) for c in ("node", "side", "group", "f2", "f3")]).transform(map_frames, run, "key long, i long, j long, node long, side long, group long")
 
 
 def _verified(active: DataFrame, held: DataFrame) -> DataFrame:
@@ -148,10 +174,10 @@ def _verified(active: DataFrame, held: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
-            for nodes, sides, blobs, *lanes in zip(*(pdf[c] for c in ("node", "side", "held", *FP))):
+            for nodes, sides, groups, blobs, *lanes in zip(*(pdf[c] for c in ("node", "side", "group", "held", *FP))):
                 node, side = np.asarray(nodes, dtype=np.int64), np.asarray(sides, dtype=np.int64)
                 lanes, sets = [np.asarray(f, dtype=np.int64).view(np.uint64) for f in lanes], [np.frombuffer(b, dtype=np.uint64) for b in blobs]
-                part = np.arange(len(node))
+                part = np.array(groups, dtype=np.int64)
                 for k in range(len(node) - 1):
                     for m in _near(lanes, k, side, MAX_BITS):
                         if part[m] != part[k] and alike(sets[k], sets[m]):
@@ -160,7 +186,7 @@ def _verified(active: DataFrame, held: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["u", "v"])
         trim_memory()
 
-    columns = ["node", "side", "held", *FP]
+    columns = ["node", "side", "group", "held", *FP]
     lists = active.join(held, "node").groupBy("key", "i", "j").agg(F.collect_list(F.struct(*columns)).alias("m"))
     return lists.select(*[F.col(f"m.{c}").alias(c) for c in columns]).transform(map_frames, run, "u long, v long").distinct()
 
@@ -215,9 +241,19 @@ def near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     one = marks.join(nodes.select("node", "first_id", "first_mark"), "node").where(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("mark") == F.col("first_mark")))
     keys = materialise(one.select("node", "f2", "f3", F.explode("keys").alias("key")).distinct(), "wide-keys")
     sizes = materialise(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "wide-sizes")
-    active = materialise(_active(_tiles(keys, sizes)), "wide-active")
-    held = materialise(_sets(docs, nodes.join(active.select("node").distinct(), "node"), shingle), "wide-sets")
-    parts = connected_components(materialise(_verified(active, held), "wide-links"))
+    members = keys.join(sizes, "key").withColumn("group", F.col("node"))
+
+    def linked(tiles: DataFrame) -> DataFrame:
+        active = materialise(_active(tiles), "wide-active")
+        held = materialise(_sets(docs, nodes.join(active.select("node").distinct(), "node"), shingle), "wide-sets")
+        return materialise(_verified(active, held), "wide-links")
+
+    links = linked(_dealt(members, 0))
+    crowd = materialise(members.where(F.col("n") > TILE).drop("group"), "wide-crowded")
+    if not crowd.isEmpty():
+        links = links.union(linked(_dealt(_open(crowd, links), 1)))  # joins the pieces that tiles cut a group into
+        links = links.union(linked(_across(_open(crowd, links))))
+    parts = connected_components(links)
     placed = nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.struct(F.col("first_id").isNull().alias("bare"), F.col("first_id").alias("id"), F.col("first_mark").alias("mark")).alias("first"))
     heads = placed.groupBy("component").agg(F.min("first").alias("head"))
     named = materialise(placed.join(heads, "component").select("node", "head"), "wide-named")
