@@ -49,8 +49,6 @@ KEYS, NEAR = 12, 8
 MAX_BITS, MAX_CHECK = 60, 35
 #: The similarity of near-copies, and about how many members of a bucket make a side of a tile.
 LEAST, TILE = 0.8, 256
-#: The ratio of the bounds of a size class: 1 / LEAST, and a margin for rounding.
-STEP = 1.01 / LEAST
 _LANE = np.array([0x9E3779B97F4A7C15 * (k + 1) & (1 << 64) - 1 for k in range(LANES)], dtype=np.uint64)
 FP = [f"f{k}" for k in range(LANES)]
 
@@ -100,9 +98,11 @@ def pair_keys(count: np.ndarray) -> np.ndarray:
 
 
 def _sized(keys: Column, size: Column) -> Column:
-    """Each key in a set's size class and in the next above: sets at least ``LEAST`` alike are in one class or in two that follow each other."""
-    level = F.floor(F.log(F.greatest(size, F.lit(1))) / F.log(F.lit(STEP)))
-    return F.flatten(F.array(*[F.transform(keys, lambda k: F.shiftleft(level + up, 26) + k) for up in (0, 1)]))
+    """Each key in a set's size class, and in the next where a set ``LEAST`` alike may be in that: classes double in size."""
+    level = lambda n: F.floor(F.log2(F.greatest(n, F.lit(1))))
+    # the margin is for rounding: it only puts more sets in two classes
+    levels = F.array_distinct(F.array(level(size), level(size * (1.01 / LEAST))))
+    return F.flatten(F.transform(levels, lambda up: F.transform(keys, lambda k: F.shiftleft(up, 26) + k)))
 
 
 def text_mark(text: Column) -> Column:
