@@ -33,6 +33,8 @@ from plumbago.llm.common import BATCH_ROWS, hold_cache, map_frames, trim_memory
 CHAIN = 64
 #: Size of the hashed feature space; one more row holds zero weights for absent features.
 HASHED = 1 << 16
+#: Distinct words whose features are made at a time.
+WORDS = 4_000
 WIDTH = 24
 _WORD = re.compile(r"[^\W\d_]{1,%d}" % WIDTH)
 _MIX = (np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D))
@@ -124,8 +126,8 @@ class LanguageCRF:
             need = len(rows) + len(new)
             if need > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros((max(need, 2 * len(self.table)) - len(self.table), self.table.shape[1]), np.float32)])
-            for a in range(0, len(new), 20_000):
-                part = new[a : a + 20_000]
+            for a in range(0, len(new), WORDS):
+                part = new[a : a + WORDS]
                 start = len(rows)
                 self.table[start : start + len(part)] = self.weights[word_features(part, self.lexicon)].sum(axis=1)
                 rows.update(zip(part, range(start, start + len(part))))
@@ -159,7 +161,7 @@ class LanguageCRF:
         joint = forward * back
         return (joint / np.maximum(joint.sum(axis=2, keepdims=True), 1e-300))[inside]
 
-    def label(self, texts: list[str | None], sub: int = 75_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
+    def label(self, texts: list[str | None], sub: int = 30_000) -> Iterator[tuple[int, list[str], np.ndarray]]:
         """Words of the texts and their posteriors, with the number of the text.
 
         Whole texts, in runs of about ``sub`` words; a longer text comes in several parts, cut between chains.
@@ -241,7 +243,7 @@ def train(texts: list[str], labels: list[str], epochs: int = 3, rate: float = 0.
     if not chains or len(languages) < 2:
         return model
     names = list(vocabulary)
-    features = [word_features(names[a : a + 20_000], lexicon) for a in range(0, len(names), 20_000)]
+    features = [word_features(names[a : a + WORDS], lexicon) for a in range(0, len(names), WORDS)]
     wide = max(f.shape[1] for f in features)
     table = np.concatenate([np.pad(f, ((0, 0), (0, wide - f.shape[1])), constant_values=HASHED) for f in features])
     for i in np.flatnonzero(rng.random(len(chains)) < mixed):
