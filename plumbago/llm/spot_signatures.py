@@ -73,25 +73,52 @@ def jaccard(a: Column, b: Column, least: float = 0.0) -> Column:
     return F.when((na == 0) & (nb == 0), 1.0).when((bound == 0) | (bound < least), 0.0).otherwise(exact)
 
 
-def with_next(df: DataFrame, id_col: str, text_col: str, rows_each: int = 256) -> DataFrame:
-    """Rows (doc_id, text, next_text): the next text by ascending id, after the last the first.
+#: At most this many ranges of ids on each of two levels: both levels' cuts together stay below 9 MB.
+RANGES = 1024
 
-    Ids are cut into equal ranges of about ``rows_each`` rows, and each range also gets the first row
-    of the next that has any, so no sort spans the table. The search for those next ranges is over
+
+def _cuts(parts: int) -> Column:
+    return F.array(*[F.lit(i / parts) for i in range(1, parts)])
+
+
+def _place(key: Column, cuts: Column) -> Column:
+    """How many of the sorted cuts are not above the key: its range."""
+    return F.size(F.filter(cuts, lambda c: c <= key))
+
+
+def id_ranges(docs: DataFrame, key: str, rows_each: int) -> tuple[DataFrame, int]:
+    """Adds ``range``, ascending with the key, of about ``rows_each`` rows; and how many ranges there can be.
+
+    Cuts are quantiles of all keys, on two levels, so that far or dense ids spread like any others. Beyond
+    ``RANGES`` squared ranges their rows grow instead. Rows with one key share a range.
+    """
+    n = docs.count()
+    wide = min(RANGES, parts_for(parts_for(n, rows_each) ** 0.5, 1))
+    deep = min(RANGES, parts_for(n, rows_each * wide))
+    if wide == 1 and deep == 1:
+        return docs.withColumn("range", F.lit(0).cast("long")), 1
+    outer = (docs.agg(F.percentile_approx(key, _cuts(wide), 20 * wide).alias("cuts")).first()["cuts"] or []) if wide > 1 else []
+    docs = docs.withColumn("outer", _place(F.col(key), F.array(*[F.lit(c).cast("long") for c in outer]).cast("array<bigint>")))
+    if deep == 1:
+        return docs.withColumn("range", F.col("outer").cast("long")).drop("outer"), wide
+    # materialised: quantile sketches may differ between runs, and each row needs one range in all plans
+    inner = materialise(docs.groupBy("outer").agg(F.percentile_approx(key, _cuts(deep), 20 * deep).alias("cuts")), "cuts")
+    placed = docs.join(F.broadcast(inner), "outer")  # at most RANGES rows of RANGES cuts
+    return placed.withColumn("range", F.col("outer").cast("long") * deep + _place(F.col(key), F.col("cuts"))).drop("outer", "cuts"), wide * deep
+
+
+def with_next(df: DataFrame, id_col: str, text_col: str, chain: int = 3, rows_each: int = 256) -> DataFrame:
+    """Rows (doc_id, text, own, next_text, after): the next text by ascending id, after the last the first,
+    with the signatures of both.
+
+    Ids are cut into ranges of about ``rows_each`` rows by quantiles, and each range also gets the first
+    row of the next that has any, so no sort spans the table. The search for those next ranges is over
     range numbers, in groups of the square root of their count.
     """
     docs = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("key"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    low, high = low or 0, high or 0
-    step = max(1, -(-(high - low + 1) // parts_for(n, rows_each)))
-    if high - low < 1 << 62 and abs(low) < 1 << 62:
-        spread = F.expr(f"div(key - ({low}L), {step}L)")
-    else:  # differences beyond 64 bits
-        spread = F.expr(f"cast(floor((cast(key as decimal(20,0)) - ({low}BD)) / {step}BD) as long)")
-    docs = docs.withColumn("range", F.when(F.col("key") <= low, F.lit(0)).otherwise(spread))
+    docs, ranges = id_ranges(docs, "key", rows_each)
     heads = docs.groupBy("range").agg(F.min("key").alias("head"))
-    wide = max(1, int((high - low + 1) // step) + 1)
-    groups = max(1, int(wide**0.5))
+    groups = max(1, int(ranges**0.5))
     heads = materialise(heads.withColumn("group", F.expr(f"div(range, {groups}L)")), "heads")
     firsts = heads.groupBy("group").agg(F.min("range").alias("first_range")).withColumn("follows", F.lag("group").over(Window.orderBy("group")))
     inside = heads.select("range", "head", F.lag("range").over(Window.partitionBy("group").orderBy("range")).alias("previous"), "group")
@@ -102,10 +129,13 @@ def with_next(df: DataFrame, id_col: str, text_col: str, rows_each: int = 256) -
     copies = inside.join(edge, "range", "left").select("head", F.coalesce("previous", "last_range").alias("to")).where("to is not null").union(wrap)
     own = docs.select("range", F.lit(0).alias("copy"), "key", "doc_id", "text")
     lent = docs.join(materialise(copies, "copies"), F.col("key") == F.col("head"))
-    rank = F.row_number().over(Window.partitionBy("to").orderBy("text"))
-    lent = lent.withColumn("rank", rank).where("rank = 1").select(F.col("to").alias("range"), F.lit(1).alias("copy"), "key", "doc_id", "text")
+    # the least text of a key, without sorting the key's texts
+    lent = lent.groupBy("to", "key").agg(F.min("text").alias("text")).select(F.col("to").alias("range"), F.lit(1).alias("copy"), "key", F.lit(None).cast("long").alias("doc_id"), "text")
+    # each text's signatures are taken once, behind the exchange, and handed to the row before
+    rows = own.union(lent).repartition("range").withColumn("own", signatures(F.col("text"), chain))
     ordered = Window.partitionBy("range").orderBy("copy", "key", "text")
-    return own.union(lent).withColumn("next_text", F.lead("text").over(ordered)).where("copy = 0").select("doc_id", "text", "next_text")
+    following = [F.lead("text").over(ordered).alias("next_text"), F.lead("own").over(ordered).alias("after")]
+    return rows.select("copy", "doc_id", "text", "own", *following).where("copy = 0").drop("copy")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -117,10 +147,10 @@ def edited(text: Column, following: Column) -> Column:
 
 def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", chain: int = 3) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likeness to each other and to the next text's."""
-    rows = with_next(df, id_col, text_col).withColumn("edit", edited(F.col("text"), F.col("next_text")))
+    rows = with_next(df, id_col, text_col, chain).withColumn("edit", edited(F.col("text"), F.col("next_text")))
     marked = rows.select(
         "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2(F.col("edit").cast("binary"), 256).alias("edited_sha256"),
-        *(signatures(F.col(c), chain).alias(a) for c, a in (("text", "own"), ("edit", "changed"), ("next_text", "after"))),
+        "own", signatures(F.col("edit"), chain).alias("changed"), "after",
     )
     return marked.select(
         "doc_id", "n_chars", "edited_sha256", as_text(F.col("own")).alias("fingerprint"), as_text(F.col("changed")).alias("edited_fingerprint"),
@@ -128,7 +158,7 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     )
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3, group_rows: int = 500) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.8, chain: int = 3) -> DataFrame:
     """Rows (class_a, class_b, likeness) between different sets of at least ``threshold``, and membership by ``classes``.
 
     A class is a distinct set, named by its least doc_id. Returned rows hold both class ids.

@@ -69,6 +69,20 @@ def test_fingerprints_small_tables(spark):
     assert {r["edited_sha256"] for r in odd} >= {hashlib.sha256(x).hexdigest() for x in (b"wwwx",)} and len(odd) == 4
 
 
+def test_ranges_of_uneven_ids(spark):
+    ids = [*range(900), *range(10**12, 10**12 + 90), *[10**15 + k * 10**9 for k in range(10)]]
+    random.Random(3).shuffle(ids)
+    df = spark.createDataFrame([(i, f"stone{i} river{i * 7}") for i in ids], "doc_id long, text string").repartition(4)
+    for rows_each in (10, 250, 5000):
+        docs, ranges = spot_signatures.id_ranges(df, "doc_id", rows_each)
+        held = {r["range"]: r for r in docs.groupBy("range").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).collect()}
+        assert sum(r["n"] for r in held.values()) == len(ids) and max(r["n"] for r in held.values()) <= 2 * rows_each
+        assert set(held) <= set(range(ranges)) and all(held[x]["b"] < held[y]["a"] for x, y in zip(sorted(held), sorted(held)[1:]))
+        after = {r["doc_id"]: r["next_text"] for r in spot_signatures.with_next(df, "doc_id", "text", rows_each=rows_each).collect()}
+        order = sorted(ids)
+        assert after == {i: f"stone{j} river{j * 7}" for i, j in zip(order, order[1:] + order[:1])}
+
+
 def test_spot_join(spark):
     docs = made()
     rng = random.Random(1)
